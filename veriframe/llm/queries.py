@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import chat, mixing, ogg, quality, secrets, tokens
 from .common import read
 
 
@@ -22,6 +22,48 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation that holds the template's own control strings.
+AWKWARD = "\\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", AWKWARD), (-7, 1, "assistant", AWKWARD)], "conv_id long, turn long, role string, text string")
+    done = chat.format_records(chat.conversations_as_records(rows.unionByName(added)))
+    back = done.select(
+        "conv_id", "layout", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "layout",
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"), "low_chunks", "high_chunks"
+    )
+
+
+#: Texts of more tokens than this are over the limit.
+TOKEN_LIMIT = 512
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_chunks")
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = ogg.write_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ogg.read_media(stored.select("doc.doc_id", "n_bytes", "media")).select("row.doc_id", "row.n_bytes", "read.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = mixing.systematic_copies(docs)
@@ -30,5 +72,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_chat_format": op2_chat_format,
+    "op3_quality": op3_quality,
+    "op5_token_counts": op5_token_counts,
+    "op7_ogg": op7_ogg,
     "op8_mixing": op8_mixing,
 }
