@@ -52,13 +52,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     )
 
 
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def systematic_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None, seed: int = 7,
     weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
 ) -> DataFrame:
     """(doc, size, source_size, target, copies) for every row; doc holds the row as it came.
 
-    Size counts words, 0 for a null or empty text. In its source each document is due
+    Size counts words, 0 for a null or empty text, unless a size of its own is given; that should be
+    stored and not counted anew, as docs is read more than once. In its source each document is due
     target/source_size copies. Sums of those run through the source's documents in order of size
     class, then hash; one random offset for each source is added, and a document is taken once for
     each whole number its sum passes. All documents of a source are due as much, so the sum is the
@@ -76,7 +81,7 @@ def systematic_copies(
         buckets *= 2
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(
-        F.struct("*").alias("doc"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.struct("*").alias("doc"), (n_words(F.col(text)) if size is None else size).alias("size"),
         F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source), F.lit("")).alias("source"), md5_number(key).alias("h"),
     )
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("bucket", F.floor(F.col("h") * buckets / F.lit(float(1 << 32))))
