@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from veriframe.llm import quality
 from veriframe.llm.queries import op3_quality
@@ -62,4 +61,3 @@ def test_query_over_the_whole_table(spark, sf):
         assert tuple(r[n] for n in NAMES) == brute(docs[r["doc_id"]])
         assert not (r["kept"] and r["base_failed"])
     assert pytest.approx(1, abs=0.4) == sum(r["kept"] for r in rows) / len(rows)
-    assert F is not None

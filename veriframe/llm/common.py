@@ -30,6 +30,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """Equal for rows of equal id and text, nulls included, and never null."""
+    return F.md5(F.concat_ws("\x00", F.col(doc_id).isNull().cast("string"), F.col(text).isNull().cast("string"), F.col(doc_id).cast("string"), F.col(text)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

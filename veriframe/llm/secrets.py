@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, running_offsets
+from .common import let, materialise, row_key, running_offsets
 
 #: Fixed patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -129,12 +129,11 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owne
 
     Rows are matched by id and text, so repeated rows are all redacted. Only rows with a candidate
     are shuffled with their text. Spans that overlap are masked as one."""
-    key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))).alias("key")
+    key = row_key(doc_id, text).alias("key")
     some = F.coalesce(F.col(text).rlike(f"{ASSIGN}|(?-i:{ACCESS}|{HEX.replace('+', '{24,}')}|{RUN})"), F.lit(False))
     cut = scan(docs, doc_id, text, max_owners=max_owners, carry=[key], **options)
     cut = cut.select(F.col("carry.key").alias("key"), F.filter("spans", lambda x: x["owners"] <= max_owners).alias("cut")).where(F.size("cut") > 0)
     cut = cut.groupBy("key").agg(F.first("cut").alias("cut"))
-    wide = docs.select(F.struct("*").alias("doc"))
     packed = docs.select(F.struct("*").alias("doc"), some.alias("some"), key)
     clean = packed.where(~F.col("some")).select("doc")
     joined = packed.where("some").select("doc", "key").join(cut, "key", "left")
@@ -149,4 +148,4 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owne
         F.substring(body, (ends(F.col("cut"), F.size("cut")) + 1).cast("int"), F.length(body)),
     )
     redone = joined.select(F.col("doc").withField(f"`{text}`", F.when(F.col("cut").isNull(), body).otherwise(masked)).alias("doc"))
-    return clean.select("doc.*").unionByName(redone.select("doc.*")).select(*[F.col(f"`{c}`") for c in wide.select("doc.*").columns])
+    return clean.select("doc.*").unionByName(redone.select("doc.*"))
