@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ogg, quality, secrets, simhash, tokens
-from .common import materialise, read
+from . import chat, language, mixing, ogg, quality, secrets, sentencepiece_codec, simhash, tokens, toxicity
+from .common import held_out, materialise, read
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents that score this much are called toxic.
+TOXIC = 0.3
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("offending").cast("bigint").alias("n_offending"),
+    )
+
+
 #: Texts of more tokens than this are over the limit.
 TOKEN_LIMIT = 512
 
@@ -59,6 +72,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_chunks")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return named.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = ogg.write_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return ogg.read_media(stored.select("doc.doc_id", "n_bytes", "media")).select("row.doc_id", "row.n_bytes", "read.*")
@@ -70,6 +89,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = sentencepiece_codec.coded(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.written(F.col("fp")).alias("fingerprint"), "component_id")
@@ -79,8 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_format": op2_chat_format,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_language": op6_language,
     "op7_ogg": op7_ogg,
     "op8_mixing": op8_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
