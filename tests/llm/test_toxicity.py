@@ -66,13 +66,13 @@ def test_awkward_rows_and_no_labels(spark):
 
 
 def test_query_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = op4_toxicity(spark, sf).collect()
-    assert len(rows) == 1000
+    assert len(rows) == 10_000
     held = [(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
     good, bad = np.array([s for s, t in held if t]), np.array([s for s, t in held if not t])
     auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
-    assert auc > 0.9
+    assert auc > 0.97
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert pytest.approx(0.1, abs=0.1) == np.mean([r["predicted"] for r in rows])

@@ -16,12 +16,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there, so that a lost executor
-    costs no more than the step it was in. A folder of our own is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veriframe-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriframe-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from there, so that a lost executor costs no more
+    than the step it was in."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

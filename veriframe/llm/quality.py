@@ -35,9 +35,9 @@ class Limits:
     higher ratios, so the limits widen with length. A last chunk under half a chunk isn't judged."""
 
     level: int = 3
-    bands: tuple[Band, ...] = (Band(256, 0.0, 5.0), Band(2048, 1.05, 8.0), Band(16384, 1.25, 12.0), Band(float("inf"), 1.35, 20.0))
+    bands: tuple[Band, ...] = (Band(256, 0.0, 3.0), Band(2048, 1.15, 4.0), Band(16384, 1.4, 5.0), Band(float("inf"), 1.5, 6.0))
     chunk: int = 4096
-    chunk_band: tuple[float, float] = (1.2, 9.0)
+    chunk_band: tuple[float, float] = (1.4, 6.0)
     odd_chunks: float = 0.5
 
 

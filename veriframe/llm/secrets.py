@@ -124,8 +124,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owners: int = 1, **options) -> DataFrame:
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owners: int = 1, length: str | None = None, **options) -> DataFrame:
     """docs with every owner-specific secret replaced by MASK; examples that several owners have stay.
+    length names a column that holds the text's length, to be set anew where the text changes.
 
     Rows are matched by id and text, so repeated rows are all redacted. Only rows with a candidate
     are shuffled with their text. Spans that overlap are masked as one."""
@@ -147,5 +148,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owne
         F.array_join(F.transform("cut", lambda x, i: piece(F.col("cut"), x, i)), ""),
         F.substring(body, (ends(F.col("cut"), F.size("cut")) + 1).cast("int"), F.length(body)),
     )
-    redone = joined.select(F.col("doc").withField(f"`{text}`", F.when(F.col("cut").isNull(), body).otherwise(masked)).alias("doc"))
+    redone = joined.withColumn("doc", F.when(F.col("cut").isNull(), F.col("doc")).otherwise(F.col("doc").withField(f"`{text}`", masked))).select("doc", "cut")
+    if length:
+        counted = F.col("doc").withField(f"`{length}`", F.length(body).cast(docs.schema[length].dataType))
+        redone = redone.withColumn("doc", F.when(F.col("cut").isNull(), F.col("doc")).otherwise(counted))
     return clean.select("doc.*").unionByName(redone.select("doc.*"))

@@ -18,8 +18,9 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
 #: Lengths of the beginnings of words that are features besides the words.
 STEMS = (4, 5, 6)
-#: Rows of each label that a fit reads, about; features kept; documents of the sample that must have one.
-PER_LABEL, FEATURES, SUPPORT = 3000, 4096, 4
+#: Rows of each label that a fit reads, about; features kept at most; documents of the sample that must
+#: have one; standard errors that its shares among toxic and clean documents must be apart.
+PER_LABEL, FEATURES, SUPPORT, APART = 3000, 4096, 3, 4.0
 #: Sentences that score this much are named as offending.
 OFFENDING = 0.3
 #: Words whose weights a task remembers.
@@ -121,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Model({}, float(np.log(rate / (1 - rate))))
     p1, p0 = F.col("toxic") / float(n1), (F.col("n") - F.col("toxic")) / float(n - n1)
     share = F.col("n") / float(n)
-    z = (p1 - p0) / F.sqrt(share * (1 - share) + 1e-9)
-    best = each.where(F.col("n") >= SUPPORT).where("f <> ''").orderBy(F.abs(z).desc(), "f").limit(FEATURES)
+    z = (p1 - p0) / F.sqrt(share * (1 - share) * (1.0 / n1 + 1.0 / (n - n1)) + 1e-12)
+    best = each.where((F.col("n") >= SUPPORT) & (F.abs(z) >= APART)).where("f <> ''").orderBy(F.abs(z).desc(), "f").limit(FEATURES)
     names = [r["f"] for r in best.select("f").collect()]
     keep = {f: i for i, f in enumerate(names)}
 
