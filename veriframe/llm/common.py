@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder, materialise
+
+__all__ = ["checkpoint_folder", "materialise"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,21 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriframe-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there, so that a lost executor costs no more
-    than the step it was in."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of ids kept from every fit; a null id counts as an empty one."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import let, materialise, row_key
 
 SEED = 42
@@ -180,28 +181,6 @@ def links(unique: DataFrame) -> DataFrame:
     return cells.mapInPandas(run, "src long, dst long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that edges (src, dst) join; the root is the smallest node of the class.
-
-    Large and small stars by turns: every node's larger neighbours, then its smaller ones with
-    itself, are linked to the smallest in its neighbourhood, until nothing changes. A star of many
-    leaves is an aggregation of its edges, not a list. Each round goes to the checkpoint folder."""
-    current = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    while True:
-        both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.where("src <> dst").distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src")
-        small = small.select("src", F.col("m").alias("dst")).unionByName(small.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))).distinct()
-        following = materialise(small)
-        changed = following.exceptAll(current).limit(1).count() or current.exceptAll(following).limit(1).count()
-        current = following
-        if not changed:
-            return current.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-
-
 def assigned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, fp, root, component_id) for every row; key tells rows of other id or text apart."""
     own = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
