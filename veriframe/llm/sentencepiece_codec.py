@@ -10,6 +10,8 @@ import itertools
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -152,7 +154,11 @@ class Backend:
     reference: object
     by_units: bool
     threads: int
-    memory: dict[str, tuple[int, str, str, bool]] = field(default_factory=dict)
+    #: What each id shows, and the last id that isn't a piece of text (bytes, unknown, control).
+    pieces: list[str]
+    last_byte: int
+    #: Unit to its number of ids, their packed bytes, the decoded unit where it isn't the unit itself, and parity.
+    memory: dict[str, tuple[int, bytes, str | None, bool]] = field(default_factory=dict)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of whole texts. Where the libraries differ the ids are sentencepiece's, as
@@ -167,10 +173,14 @@ class Backend:
     def learn(self, units: list[str]) -> None:
         """Encode, verify and decode units that are met for the first time."""
         found = self.encode([u[1:].replace(MARK, " ") for u in units])
-        for u, (ids, same), back in zip(units, found, self.decode([i for i, _ in found]), strict=True):
+        plain = [None if min(i, default=0) > self.last_byte else k for k, (i, _) in enumerate(found)]  # bytes and unknowns come first in a model
+        odd = [k for k in plain if k is not None]
+        backs = dict(zip(odd, self.decode([found[k][0] for k in odd]), strict=True))
+        for k, (u, (ids, same)) in enumerate(zip(units, found, strict=True)):
             if u == MARK:  # a marker with nothing behind it, which encoding an empty text leaves out
                 ids = [self.reference.piece_to_id(MARK)]
-            self.memory[u] = (len(ids), ",".join(map(str, ids)), " " + back, same)
+            back = " " + backs[k] if k in backs else "".join([self.pieces[i] for i in ids])
+            self.memory[u] = (len(ids), packed(ids), None if back == u.replace(MARK, " ") else back, same)
 
     def rows(self, texts: list[str]) -> list[tuple[int, str, str, bool, bool]]:
         """(ids, their digest, digest of the decoded text, whether that is the text, parity) of each text."""
@@ -180,37 +190,40 @@ class Backend:
             return [(len(i), digest(i), sha(b), b == t, same) for t, (i, same), b in zip(texts, coded, backs, strict=True)]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        short = [list(units(t)) for t in texts if len(t) <= LONG]
-        new = {u for chunks in short for chunk in chunks for u in chunk if u not in self.memory}
-        if new:
-            self.learn(sorted(new))
-        known = iter(short)
-        return [self.put_together(t, next(known) if len(t) <= LONG else units(t)) for t in texts]
+        short = [UNIT.findall(marked(t)) if len(t) <= LONG else [] for t in texts]
+        if new := [u for u in set().union(*short) if u not in self.memory]:
+            self.learn(new)
+        return [self.put_together(t, [u] if len(t) <= LONG else units(t)) for t, u in zip(texts, short, strict=True)]
 
     def put_together(self, text: str, chunks: Iterable[list[str]]) -> tuple[int, str, str, bool, bool]:
-        n, at, same, equal = 0, -1, True, True  # the first unit's marker is no character of the text
+        n, same, equal, first = 0, True, MARK not in text, True
         ids, decoded = hashlib.sha256(), hashlib.sha256()
         for chunk in chunks:
-            if new := {u for u in chunk if u not in self.memory}:
-                self.learn(sorted(new))
-            found = [self.memory[u] for u in chunk]
-            ids.update(("," * (n > 0) + ",".join([x[1] for x in found])).encode())
-            back = "".join([x[2] for x in found])
-            back, start = (back[1:], 0) if at < 0 else (back, at)
-            decoded.update(back.encode("utf-8", "surrogatepass"))
-            equal = equal and text.startswith(back, start)
-            n, at, same = n + sum([x[0] for x in found]), start + len(back), same and all([x[3] for x in found])
-        return n, ids.hexdigest(), decoded.hexdigest(), equal and max(at, 0) == len(text), same
+            if not chunk:
+                continue
+            if len(text) > LONG and (new := [u for u in set(chunk) if u not in self.memory]):
+                self.learn(new)
+            counts, codes, backs, parity = zip(*map(self.memory.__getitem__, chunk), strict=True)
+            n, same, equal = n + sum(counts), same and all(parity), equal and not any(b is not None for b in set(backs))
+            ids.update(b"".join(codes))
+            back = "".join([u.replace(MARK, " ") if b is None else b for u, b in zip(chunk, backs, strict=True)]) if not equal or len(text) > LONG else text
+            decoded.update((back[1:] if first and back is not text else back).encode("utf-8", "surrogatepass"))  # the first marker is no character
+            first = False
+        return n, ids.hexdigest(), decoded.hexdigest(), equal, same
 
 
 #: Units remembered by a task, characters above which a text goes by chunks of units, and texts at a time.
-REMEMBERED, LONG, CHUNK, BATCH, THREADS = 300_000, 1 << 20, 1 << 14, 512, 2
+REMEMBERED, LONG, CHUNK, BATCH, THREADS = 1_000_000, 1 << 20, 1 << 14, 512, 2
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+def marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK) if text else ""
+
+
 def units(text: str) -> Iterator[list[str]]:
     if text:
-        found = (m[0] for m in UNIT.finditer(MARK + text.replace(" ", MARK)))
+        found = (m[0] for m in UNIT.finditer(marked(text)))
         while chunk := list(itertools.islice(found, CHUNK)):
             yield chunk
 
@@ -224,15 +237,21 @@ def backend(path: str, threads: int = THREADS) -> Backend:
     with open(path, "rb") as f:
         data = f.read()
     model = parse(data)
-    return Backend(build(model), sentencepiece.SentencePieceProcessor(model_proto=data), apart(model), threads)
+    special = [i for i, (_, _, kind) in enumerate(model.pieces) if kind not in (NORMAL, USER_DEFINED)]
+    shown = [p.replace(MARK, " ") for p, _, _ in model.pieces]
+    return Backend(build(model), sentencepiece.SentencePieceProcessor(model_proto=data), apart(model), threads, shown, max(special, default=-1))
 
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}i", *ids)
+
+
 def digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return hashlib.sha256(packed(ids)).hexdigest()
 
 
 COLUMNS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
@@ -241,7 +260,7 @@ COLUMNS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip b
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc, n_tokens, ids_sha256, decoded_sha256, round_trip, parity) for every row.
 
-    doc holds the row as it came. ids_sha256 is of the ids, comma-joined; round_trip tells whether
+    doc holds the row as it came. ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip tells whether
     decoding gives the text back, which a normaliser or a marker in the text may prevent; parity
     whether both libraries agree on all of the text. Where the model lets units be encoded one by
     one, each distinct unit of a batch is encoded, verified and decoded once, and a text is put
