@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 #: The offset is a multiple of 2^-20, so rank * expected + offset keeps its fraction exactly where expected is a whole number.
 OFFSET_STEPS = 1 << 20
@@ -86,7 +86,7 @@ def systematic_copies(
     )
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("bucket", F.floor(F.col("h") * buckets / F.lit(float(1 << 32))))
     group, cell = ["no_source", "source", "class"], ["no_source", "source", "class", "bucket"]
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    cells = materialise(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     groups = cells.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     sources = groups.groupBy("no_source", "source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(sources, weights, share, most)
