@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and underscore of any script.
 WORD = r"[\p{L}\p{N}_]+"
@@ -46,7 +47,7 @@ def normalise(text: Column) -> Column:
     return collapse(F.lower(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
@@ -211,7 +212,7 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_object(texts: pd.Series) -> pd.Series:
     return texts.map(first_json)
 
