@@ -154,4 +154,4 @@ def test_organiser_rows(spark):
     assert converters.is_organiser(raw) and not converters.is_organiser(raw.drop("markers"))
     r = converters.organiser_cases(raw).first()
     assert (r["faithfulness"], r["relevance"], r["marker"], r["context"]) == (0, 1, "reason_other", "[CHUNK 1]\nодин\n\n[CHUNK 4]\nчетыре")
-    assert r["id"].startswith("alfa_") and tuple(converters.marker_provenance(raw).first()) == (1, 1, 1, 0, 2)
+    assert r["id"].startswith("case_") and tuple(converters.marker_provenance(raw).first()) == (1, 1, 1, 0, 2)

@@ -48,7 +48,7 @@ def unit_grid(steps: int = 100) -> Column:
     return F.concat(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i * F.lit(1.0 / steps)), F.array(F.lit(1.0)))
 
 
-def case_id(dialog: Column, answer: Column, prefix: str = "alfa_") -> Column:
+def case_id(dialog: Column, answer: Column, prefix: str = "case_") -> Column:
     """A content id from the raw fields."""
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat(dialog, F.char(F.lit(0)), answer)), 1, 12))
 

@@ -94,3 +94,30 @@ def reconstruct_confusion(spark, n: int, n_gold: int, n_pred: int, target: float
     from .metrics import macro_f1
 
     return all_.agg(F.min_by(F.struct("tn", "fp", "fn", "tp"), F.struct(F.abs(macro_f1() - target), "tp")).alias("b")).select("b.*")
+
+
+def seeded_paired_bootstrap(df: DataFrame, y: str, first: Sequence[str], second: Sequence[str], b: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row (delta, lo, hi, p, verdict): gain of the second runs over the first, pairs by seed, mean over seeds.
+
+    A case is a cell of its label and all its decisions, so a draw is over the cells there are: at
+    most 2^(2 seeds + 1), and no more than cases. One draw resamples cases for all runs alike."""
+    if len(first) != len(second) or not first:
+        raise ValueError("runs must come in pairs by seed")
+    columns = [y, *first, *second]
+    index = sum((F.col(c).cast("int") * (1 << (len(columns) - 1 - i)) for i, c in enumerate(columns)), F.lit(0))
+    found = sorted((r["i"], r["n"]) for r in df.groupBy(index.alias("i")).agg(F.count(F.lit(1)).alias("n")).collect())
+    bits = np.array([[i >> (len(columns) - 1 - c) & 1 for c in range(len(columns))] for i, _ in found])
+    counts = [n for _, n in found]
+
+    def gain(c: np.ndarray) -> np.ndarray:
+        w = c.astype(float)
+        part = lambda col, a, p: w @ ((bits[:, 0] == a) & (bits[:, col] == p)).astype(float)
+        f1 = lambda col: macro_f1_counts(part(col, 0, 0), part(col, 0, 1), part(col, 1, 0), part(col, 1, 1))
+        k = len(first)
+        return sum(f1(1 + k + s) - f1(1 + s) for s in range(k)) / k
+
+    delta = float(gain(np.array([counts]))[0])
+    drawn = draws(counts, df.sparkSession, b, seed, gain)
+    agg = drawn.agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"), F.avg((F.col("value") <= 0).cast("double")).alias("down"), F.avg((F.col("value") >= 0).cast("double")).alias("up"))
+    said = F.when(F.col("hi") < 0, "rejected").when(F.col("lo") > 0, "supported").otherwise("untested")
+    return agg.select(F.lit(delta).alias("delta"), "lo", "hi", F.least(F.lit(1.0), 2 * F.least("down", "up")).alias("p"), said.alias("verdict"))

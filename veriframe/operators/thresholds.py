@@ -113,3 +113,30 @@ def null_distribution(df: DataFrame, folds: DataFrame, y: str, trials: int, step
     judged = noisy.join(folds, "id").join(t, ["trial", "repeat", "fold"]).withColumn("p", (F.col("noise") >= F.col("threshold")).cast("int"))
     each = judged.groupBy("trial", "repeat").agg(*metrics.confusion(y, "p")).withColumn("f1", metrics.macro_f1())
     return each.groupBy("trial").agg(F.avg("f1").alias("macro_f1"))
+
+
+def fit_with_entropy(df: DataFrame, y: str, contra: str, relevance: str, entropy: str | None = None, steps: int = STEPS) -> DataFrame:
+    """One row (t_contra, t_entropy, t_rel, macro_f1): contradiction and entropy at most, relevance at least.
+
+    Entropy thresholds are the observed values and infinity; without entropy, t_entropy is null. Of equal
+    results the lowest contradiction, then entropy, then relevance threshold wins. Counts by cell of
+    the grid are summed along each axis; an observed entropy is a cell of its own."""
+    up = lambda x: F.ceil(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * steps).cast("int")
+    at_most = F.when((up(F.col(contra)) > 0) & (F.col(contra) <= threshold_of(up(F.col(contra)) - 1, steps)), up(F.col(contra)) - 1).when(F.col(contra) > threshold_of(up(F.col(contra)), steps), up(F.col(contra)) + 1).otherwise(up(F.col(contra)))
+    e = F.col(entropy).cast("double") if entropy else F.lit(float("inf"))
+    cells = df.groupBy(at_most.alias("i"), e.alias("e"), grid_bin(F.col(relevance), steps).alias("k")).agg(F.count_if(F.col(y) == 0).alias("n0"), F.count_if(F.col(y) == 1).alias("n1"))
+    axis = df.sparkSession.range(steps + 1)
+    spine = axis.select(F.col("id").cast("int").alias("i")).crossJoin(axis.select(F.col("id").cast("int").alias("k")))  # the grid, not rows
+    spine = spine.crossJoin(cells.select("e").distinct().unionByName(df.sparkSession.range(1).select(F.lit(float("inf")).alias("e"))).distinct())
+    full = spine.join(cells, ["i", "e", "k"], "left").select("i", "e", "k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n0", "n1")])
+
+    def along(frame: DataFrame, by: list[str], order: Column) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return frame.select("i", "e", "k", *[F.sum(c).over(w).alias(c) for c in ("n0", "n1")])
+
+    summed = along(along(along(full, ["e", "k"], F.col("i").asc()), ["i", "k"], F.col("e").asc()), ["i", "e"], F.col("k").desc())
+    totals = F.broadcast(cells.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("all0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("all1")))
+    at = summed.withColumnsRenamed({"n0": "fp", "n1": "tp"}).crossJoin(totals).withColumn("tn", F.col("all0") - F.col("fp")).withColumn("fn", F.col("all1") - F.col("tp")).withColumn("macro_f1", metrics.macro_f1())
+    top = at.agg(F.max_by(F.struct("i", "e", "k", "macro_f1"), F.struct("macro_f1", -F.col("i"), -F.col("e"), -F.col("k"))).alias("b"))
+    t_entropy = F.col("b.e") if entropy else F.lit(None).cast("double")
+    return top.select(threshold_of(F.col("b.i"), steps).alias("t_contra"), t_entropy.alias("t_entropy"), threshold_of(F.col("b.k"), steps).alias("t_rel"), "b.macro_f1")

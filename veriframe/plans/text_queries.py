@@ -115,7 +115,7 @@ def t13(spark, sf_dir):
     return said.select("id", t.verdict(F.col("raw"), "FAITHFULNESS").alias("faithfulness_pred"), t.verdict(F.col("raw"), "RELEVANCE").alias("relevance_pred"))
 
 
-@query("t19_content_ids", with_(CASES) + "select id, 'alfa_' || substr(sha1(question || chr(0) || answer), 1, 12) as case_id, sha256(answer) as answer_sha256 from cases")
+@query("t19_content_ids", with_(CASES) + "select id, 'case_' || substr(sha1(question || chr(0) || answer), 1, 12) as case_id, sha256(answer) as answer_sha256 from cases")
 def t19(spark, sf_dir):
     return cases(spark, sf_dir).select("id", numeric.case_id(F.col("question"), F.col("answer")).alias("case_id"), F.sha2("answer", 256).alias("answer_sha256"))
 
