@@ -148,7 +148,9 @@ def apart(m: Model) -> bool:
 
 @dataclass
 class Backend:
-    """The built tokenizer, the sentencepiece library's own, and what is known of units so far."""
+    """The built tokenizer, the sentencepiece library's own, and what is known of units so far.
+
+    A unit is written here as its text without the leading marker, other markers as spaces."""
 
     tok: object
     reference: object
@@ -157,8 +159,10 @@ class Backend:
     #: What each id shows, and the last id that isn't a piece of text (bytes, unknown, control).
     pieces: list[str]
     last_byte: int
-    #: Unit to its number of ids, their packed bytes, the decoded unit where it isn't the unit itself, and parity.
-    memory: dict[str, tuple[int, bytes, str | None, bool]] = field(default_factory=dict)
+    #: Unit to its packed ids.
+    memory: dict[str, bytes] = field(default_factory=dict)
+    #: The few units that don't decode to themselves or lack parity: (decoded with its leading space, parity).
+    odd: dict[str, tuple[str, bool]] = field(default_factory=dict)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of whole texts. Where the libraries differ the ids are sentencepiece's, as
@@ -172,15 +176,16 @@ class Backend:
 
     def learn(self, units: list[str]) -> None:
         """Encode, verify and decode units that are met for the first time."""
-        found = self.encode([u[1:].replace(MARK, " ") for u in units])
-        plain = [None if min(i, default=0) > self.last_byte else k for k, (i, _) in enumerate(found)]  # bytes and unknowns come first in a model
-        odd = [k for k in plain if k is not None]
-        backs = dict(zip(odd, self.decode([found[k][0] for k in odd]), strict=True))
+        found = self.encode(units)
+        special = [k for k, (i, _) in enumerate(found) if min(i, default=0) <= self.last_byte]
+        backs = dict(zip(special, self.decode([found[k][0] for k in special]), strict=True))
         for k, (u, (ids, same)) in enumerate(zip(units, found, strict=True)):
-            if u == MARK:  # a marker with nothing behind it, which encoding an empty text leaves out
+            if not u:  # a marker with nothing behind it, which encoding an empty text leaves out
                 ids = [self.reference.piece_to_id(MARK)]
+            self.memory[u] = packed(ids)
             back = " " + backs[k] if k in backs else "".join([self.pieces[i] for i in ids])
-            self.memory[u] = (len(ids), packed(ids), None if back == u.replace(MARK, " ") else back, same)
+            if not same or back != " " + u:
+                self.odd[u] = back, same
 
     def rows(self, texts: list[str]) -> list[tuple[int, str, str, bool, bool]]:
         """(ids, their digest, digest of the decoded text, whether that is the text, parity) of each text."""
@@ -190,7 +195,8 @@ class Backend:
             return [(len(i), digest(i), sha(b), b == t, same) for t, (i, same), b in zip(texts, coded, backs, strict=True)]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        short = [UNIT.findall(marked(t)) if len(t) <= LONG else [] for t in texts]
+            self.odd.clear()
+        short = [units_of(t) if len(t) <= LONG else [] for t in texts]
         if new := [u for u in set().union(*short) if u not in self.memory]:
             self.learn(new)
         return [self.put_together(t, [u] if len(t) <= LONG else units(t)) for t, u in zip(texts, short, strict=True)]
@@ -199,21 +205,25 @@ class Backend:
         n, same, equal, first = 0, True, MARK not in text, True
         ids, decoded = hashlib.sha256(), hashlib.sha256()
         for chunk in chunks:
-            if not chunk:
-                continue
             if len(text) > LONG and (new := [u for u in set(chunk) if u not in self.memory]):
                 self.learn(new)
-            counts, codes, backs, parity = zip(*map(self.memory.__getitem__, chunk), strict=True)
-            n, same, equal = n + sum(counts), same and all(parity), equal and not any(b is not None for b in set(backs))
-            ids.update(b"".join(codes))
-            back = "".join([u.replace(MARK, " ") if b is None else b for u, b in zip(chunk, backs, strict=True)]) if not equal or len(text) > LONG else text
-            decoded.update((back[1:] if first and back is not text else back).encode("utf-8", "surrogatepass"))  # the first marker is no character
-            first = False
+            codes = b"".join(map(self.memory.__getitem__, chunk))
+            n += len(codes) // 4
+            ids.update(codes)
+            odd = bool(self.odd) and not self.odd.keys().isdisjoint(chunk)
+            if odd:
+                same, equal = same and all(self.odd[u][1] for u in chunk if u in self.odd), equal and all(u not in self.odd or self.odd[u][0] == " " + u for u in chunk)
+            if equal and len(text) <= LONG:
+                decoded.update(text.encode("utf-8", "surrogatepass"))
+            elif chunk:
+                back = "".join([self.odd[u][0] if u in self.odd else " " + u for u in chunk])
+                decoded.update(back[first:].encode("utf-8", "surrogatepass"))  # the first marker is no character
+            first = first and not chunk
         return n, ids.hexdigest(), decoded.hexdigest(), equal, same
 
 
 #: Units remembered by a task, characters above which a text goes by chunks of units, and texts at a time.
-REMEMBERED, LONG, CHUNK, BATCH, THREADS = 1_000_000, 1 << 20, 1 << 14, 512, 2
+REMEMBERED, LONG, CHUNK, BATCH, THREADS = 600_000, 1 << 20, 1 << 14, 512, 2
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -221,11 +231,20 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text. Where spaces are single and no marker is written out, they are what stands between spaces."""
+    if not text:
+        return []
+    if "  " not in text and MARK not in text and text[0] != " ":
+        return text.split(" ")
+    return [u[1:].replace(MARK, " ") for u in UNIT.findall(marked(text))]
+
+
 def units(text: str) -> Iterator[list[str]]:
-    if text:
-        found = (m[0] for m in UNIT.finditer(marked(text)))
-        while chunk := list(itertools.islice(found, CHUNK)):
-            yield chunk
+    """The units of a long text, some at a time."""
+    found = (m[0][1:].replace(MARK, " ") for m in UNIT.finditer(marked(text)))
+    while chunk := list(itertools.islice(found, CHUNK)):
+        yield chunk
 
 
 @lru_cache(maxsize=2)
