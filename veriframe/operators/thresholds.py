@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import metrics
 
 STEPS = 100
@@ -74,8 +75,12 @@ def fit_pair(df: DataFrame, y: str, first: str, second: str, steps: int = STEPS)
 
 def fold_thresholds(df: DataFrame, folds: DataFrame, y: str, score: str, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:
     """(by, repeat, fold, threshold, macro_f1): fitted for each fold on the other folds of its repeat."""
-    joined = df.join(folds, "id")
-    own = histogram(joined, y, score, [*by, "repeat", "fold"], steps)
+    own = histogram(df.join(folds, "id"), y, score, [*by, "repeat", "fold"], steps)
+    return thresholds_of_counts(own, by, steps)
+
+
+def thresholds_of_counts(own: DataFrame, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:
+    """fold_thresholds from the counts by bin of each fold's own rows."""
     whole = own.groupBy(*by, "repeat", "bin").agg(F.sum("n0").alias("w0"), F.sum("n1").alias("w1"))
     folds_of = own.select(*by, "repeat", "fold").distinct()
     train = folds_of.join(whole, [*by, "repeat"]).join(own, [*by, "repeat", "fold", "bin"], "left")
@@ -102,17 +107,34 @@ def cross_validated_report(df: DataFrame, folds: DataFrame, y: str, score: str,
     return both.select(*by, "n", (F.col("total") - F.col("n")).alias("n_excluded"), "tn", "fp", "fn", "tp", metrics.macro_f1().alias("macro_f1"))
 
 
+#: Trials that one task works on together, and parts that cases are dealt over for each such block.
+BLOCK, PARTS = 50, 8
+
+
 def null_distribution(df: DataFrame, folds: DataFrame, y: str, trials: int, steps: int = STEPS) -> DataFrame:
     """(trial, macro_f1): the same fold procedure on scores that are hashes of trial and id, mean of the
-    repeats' F1. Trials are a key, so all run in the same few stages."""
+    repeats' F1. Trials are a key, so all run in the same few stages.
+
+    Cases are dealt by block of trials before trials are unfolded, so noise is never shuffled and a task
+    counts few keys. Thresholds are grid points, so held-out decisions are read from the same counts."""
     from ..functions.numeric import hash_unit
 
-    noisy = df.select("id", y, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    noisy = noisy.withColumn("noise", hash_unit(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("id"))))
-    t = fold_thresholds(noisy, folds, y, "noise", ["trial"], steps).select("trial", "repeat", "fold", "threshold")
-    judged = noisy.join(folds, "id").join(t, ["trial", "repeat", "fold"]).withColumn("p", (F.col("noise") >= F.col("threshold")).cast("int"))
-    each = judged.groupBy("trial", "repeat").agg(*metrics.confusion(y, "p")).withColumn("f1", metrics.macro_f1())
-    return each.groupBy("trial").agg(F.avg("f1").alias("macro_f1"))
+    placed = df.select("id", y).join(folds.groupBy("id").agg(F.collect_list(F.struct("repeat", "fold")).alias("at")), "id")
+    blocks = F.sequence(F.lit(0), F.lit((trials - 1) // BLOCK))
+    dealt = placed.select("*", F.explode(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
+    dealt = dealt.repartition(PARTS * ((trials - 1) // BLOCK + 1), "block", "part")
+    each = F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.lit(trials)) - 1)
+    noisy = dealt.select("id", y, "at", F.explode(each).alias("trial"))
+    noisy = noisy.select(y, "at", "trial", hash_unit(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("id"))).alias("noise"))
+    noisy = noisy.select(y, "trial", "at", grid_bin(F.col("noise"), steps).alias("bin"))
+    rows = noisy.select(y, "trial", "bin", F.explode("at").alias("in")).select(y, "trial", "bin", "in.repeat", "in.fold")
+    own = rows.groupBy("trial", "repeat", "fold", "bin").agg(F.count_if(F.col(y) == 0).alias("n0"), F.count_if(F.col(y) == 1).alias("n1"))
+    own = materialise(own)
+    t = thresholds_of_counts(own, ["trial"], steps).select("trial", "repeat", "fold", "threshold")
+    said = own.join(t, ["trial", "repeat", "fold"]).withColumn("yes", threshold_of(F.col("bin"), steps) >= F.col("threshold"))
+    total = lambda n, yes: F.sum(F.when(F.col("yes") == yes, F.col(n)).otherwise(0))
+    each_repeat = said.groupBy("trial", "repeat").agg(total("n0", False).alias("tn"), total("n0", True).alias("fp"), total("n1", False).alias("fn"), total("n1", True).alias("tp"))
+    return each_repeat.withColumn("f1", metrics.macro_f1()).groupBy("trial").agg(F.avg("f1").alias("macro_f1"))
 
 
 def fit_with_entropy(df: DataFrame, y: str, contra: str, relevance: str, entropy: str | None = None, steps: int = STEPS) -> DataFrame:

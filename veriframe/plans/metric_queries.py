@@ -299,7 +299,7 @@ def k12(spark, sf_dir):
     return inference.paired_bootstrap(judged(spark, sf_dir).withColumn("x", (F.col("s") >= 0.3).cast("int")).join(b, "id"), "y", "x", "z", stratified=True)
 
 
-TRIALS = 20
+TRIALS = 500
 
 
 @query("k15_null_calibration", with_(CASES, FOLDS, GRID) + f""", noisy as (select tr, id, {RELIABLE} as y, {unit_sql("tr || ':' || id")} as s from cases, range({TRIALS}) n(tr)),

@@ -41,20 +41,29 @@ def x09(spark, sf_dir):
 def k13(spark, sf_dir):
     c = guards.with_reliable(cases(spark, sf_dir), name="y").select("id", "y")
     u = lambda k: (numeric.hash_unit(F.concat(F.lit(f"{k}:"), "id")) < 0.3 + 0.4 * F.col("y")).cast("int").alias(k)
-    return inference.seeded_paired_bootstrap(c.select("id", "y", *[u(k) for k in ("p1", "p2", "m1", "m2")]), "y", ["p1", "p2"], ["m1", "m2"], b=2000)
+    return inference.seeded_paired_bootstrap(c.select("id", "y", *[u(k) for k in ("p1", "p2", "m1", "m2")]), "y", ["p1", "p2"], ["m1", "m2"])
 
 
 E5 = f"e5 as (select id, {RELIABLE} as y, 1 - p_faith as contra, p_rel as rel, floor({unit_sql("'e:' || id")} * 3) / 2.0::double as entropy from scores)"
 GRID11 = "g11 as (select i, case when i = 10 then 1.0::double else i * 0.1::double end as t from range(11) g(i))"
 
 
-@query("k05_entropy_thresholds", with_(CASES, A, E5, GRID11, "ge as (select distinct entropy as te from e5 union select 'inf'::double)",
+def entropies(spark, sf_dir):
+    s = guards.with_reliable(scores(spark, sf_dir), name="y")
+    return s.select("id", "y", (1 - F.col("p_faith")).alias("contra"), F.col("p_rel").alias("rel"), (F.floor(numeric.hash_unit(F.concat(F.lit("e:"), "id")) * 3) / 2.0).alias("entropy"))
+
+
+@query("k05_entropy_thresholds_coarse", with_(CASES, A, E5, GRID11, "ge as (select distinct entropy as te from e5 union select 'inf'::double)",
     "cells as (select a.t as t_contra, te as t_entropy, b.t as t_rel, " + ", ".join(f"count(*) filter (where y = {i} and (case when contra <= a.t and entropy <= te and rel >= b.t then 1 else 0 end) = {j}) as {n}" for i, j, n in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))) + " from e5, g11 a, g11 b, ge group by 1, 2, 3)")
     + f"select t_contra, t_entropy, t_rel, round({f1()}, 9) as macro_f1 from cells order by {f1()} desc, t_contra, t_entropy, t_rel limit 1")
+def k05_coarse(spark, sf_dir):
+    """An 11-point grid an axis, for the SQL; the whole search is k05_entropy_thresholds."""
+    return r9(thresholds.fit_with_entropy(entropies(spark, sf_dir), "y", "contra", "rel", "entropy", steps=10), "macro_f1")
+
+
+@query("k05_entropy_thresholds")
 def k05(spark, sf_dir):
-    s = guards.with_reliable(scores(spark, sf_dir), name="y")
-    e = s.select("id", "y", (1 - F.col("p_faith")).alias("contra"), F.col("p_rel").alias("rel"), (F.floor(numeric.hash_unit(F.concat(F.lit("e:"), "id")) * 3) / 2.0).alias("entropy"))
-    return r9(thresholds.fit_with_entropy(e, "y", "contra", "rel", "entropy", steps=10), "macro_f1")
+    return r9(thresholds.fit_with_entropy(entropies(spark, sf_dir), "y", "contra", "rel", "entropy"), "macro_f1")
 
 
 @query("s07_assembly", with_(CASES, RANKED.replace("{by}", RELIABLE)) + """, parts as (select id, case when rank <= round_even(size * 0.8::double, 0) then 'train' when rank <= round_even(size * 0.8::double, 0) + round_even(size * 0.1::double, 0) then 'val' else 'test' end as split from ranked)
