@@ -4,9 +4,10 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from veriframe.operators import inference, thresholds
+from veriframe.operators import groups, inference, thresholds
 from veriframe.plans import metric_queries, more_queries, views
 
 
@@ -68,3 +69,41 @@ def test_entropy_thresholds_are_the_best_of_the_whole_grid(spark, sf):
                 best = (scores[k], a, e, grid[k])
     got = entry_points.queries()["k05_entropy_thresholds"](spark, sf).first()
     assert (got["macro_f1"], got["t_contra"], got["t_entropy"], got["t_rel"]) == pytest.approx(best)
+
+
+def near_cases(spark):
+    """Pairs of questions that differ in one late letter, far apart from pair to pair."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(20))
+    rows = [(f"{i:02}{x}", q + x, f"chunk {i}{x}", i % 2) for i, q in enumerate(text() for _ in range(20)) for x in "xy"]
+    return spark.createDataFrame(rows, "id string, q string, ch string, y int")
+
+
+def test_near_questions_split_between_folds_are_an_error(spark):
+    cases = near_cases(spark)
+    q, ch = F.col("q"), F.col("ch")
+    reduced = groups.build_groups(cases, q, ch, near=None)
+    folds = cases.select("id", F.lit(0).alias("repeat"), F.when((F.substring("id", 1, 2).cast("int") < 3) & F.endswith("id", F.lit("y")), 1).otherwise(0).alias("fold"))
+    check = lambda f, g, **k: {tuple(r) for r in groups.check_folds(cases, f, g, "y", 2, 1.0, 9.0, query=q, chunk=ch, **k).collect()}
+    assert check(folds, reduced) == {("error", "near-duplicate leak: 0.15")}
+    whole = groups.build_groups(cases, q, ch)
+    assert whole.select("grp").distinct().count() == 20
+    assert check(groups.assign_folds(cases, whole, "y", 2, 2), whole) == set()
+
+
+def test_shared_queries_and_first_chunks_over_folds(spark):
+    cases = spark.createDataFrame([(str(i), f"question number {i // 2}", f"c{i % 5}", 1) for i in range(10)], "id string, q string, ch string, y int")
+    own = cases.select("id", F.col("id").alias("grp"))
+    folds = cases.select("id", F.lit(0).alias("repeat"), (F.col("id") == "3").cast("int").alias("fold"))
+    found = {tuple(r) for r in groups.check_folds(cases, folds, own, "y", 2, 1.0, 9.0, query=F.col("q"), chunk=F.col("ch"), near=None).collect()}
+    assert found == {("error", "query leak: 0.2"), ("warning", "first chunk leak: 0.2")}
+
+
+def test_fold_queries_keep_near_questions_together(spark, sf):
+    placed = {}
+    for r in entry_points.queries()["k06_folds"](spark, sf).collect():
+        placed.setdefault(r["repeat"], {})[r["id"]] = r["fold"]
+    assert len(placed) == 5
+    pairs = [(r["a"], r["b"]) for r in entry_points.queries()["j06_near_pairs"](spark, sf).collect()]
+    assert all(f[a] == f[b] for f in placed.values() for a, b in pairs if a in f and b in f)
+    assert not [r for r in entry_points.queries()["k07_fold_check"](spark, sf).collect() if "leak" in r["what"]]

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions import text as t
 from ..operators import features, grounding, groups, guards, judging, learned, metrics
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, materialise
 from ..sources import readers, writers
 from ..streaming import incremental
 from .metric_queries import A, r9
 from .registry import query
 from .text_queries import chunk_list, strip, words
-from .views import CASES, FOLDS, cases, folds, marked_cases, scores, table, unit_sql, with_
+from .views import CASES, FOLDS, N_FOLDS, N_REPEATS, cases, folds, marked_cases, scores, table, unit_sql, with_
 
 
 def sentence_list(x: str) -> str:
@@ -183,15 +183,16 @@ def k01(spark, sf_dir):
 @query("k06_folds")
 def k06(spark, sf_dir):
     c = guards.with_reliable(cases(spark, sf_dir))
-    g = groups.build_groups(c, question_key(), t.first_chunk_key(F.col("context")), near=None)
-    return groups.assign_folds(c, g, "reliable", 5, 3)
+    g = groups.build_groups(c, question_key(), t.first_chunk_key(F.col("context")))
+    return groups.assign_folds(c, g, "reliable", N_FOLDS, N_REPEATS)
 
 
 @query("k07_fold_check")
 def k07(spark, sf_dir):
-    c = guards.with_reliable(cases(spark, sf_dir))
-    g = groups.build_groups(c, question_key(), t.first_chunk_key(F.col("context")), near=None)
-    return groups.check_folds(c, groups.assign_folds(c, g, "reliable", 5, 3), g, "reliable", 5)
+    c, chunk = guards.with_reliable(cases(spark, sf_dir)), t.first_chunk_key(F.col("context"))
+    links = groups.near_links(c, question_key())
+    g = groups.build_groups(c, question_key(), chunk, links=links)
+    return groups.check_folds(c, materialise(groups.assign_folds(c, g, "reliable", N_FOLDS, N_REPEATS)), g, "reliable", N_FOLDS, query=question_key(), chunk=chunk, links=links)
 
 
 SURFACE = ("len_answer", "len_ctx", "len_query", "n_chunks", "overlap_ans_ctx_1", "overlap_ans_ctx_2", "overlap_ans_q_1", "digit_match_ratio", "url_or_nav_ratio")
