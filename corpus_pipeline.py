@@ -24,8 +24,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with owner-specific secrets masked and n_chars counted anew where they were."""
-    return secrets.redact(docs, length="n_chars")
+    """All documents, with secrets masked that are no widely copied examples, and n_chars counted anew where they were."""
+    return secrets.redact(docs, max_owners=secrets.WIDE_OWNERS, max_repositories=secrets.WIDE_REPOSITORIES, length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

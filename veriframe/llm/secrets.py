@@ -89,14 +89,15 @@ SALTS = 16
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Sequence[str] = ("source",), repository: Sequence[str] = ("source", "lang"),
-    max_owners: int = 1, least_entropy: float = 3.5, carry: Sequence[Column] = (),
+    max_owners: int = 1, max_repositories: int = 0, least_entropy: float = 3.5, carry: Sequence[Column] = (),
 ) -> DataFrame:
     """One row for each row of docs: doc_id, spans array<struct<start, rank, end, owners, repositories>>
     ordered by start then kind, and what carry names.
 
     Base spans always stay. Every candidate value is hashed, and the owners and repositories that
     have it are counted over all documents. A run that is no base span is added as kind `owned` when
-    at most max_owners owners have it: what many owners have is an example that was copied around.
+    at most max_owners owners or at most max_repositories repositories have it: what many have is an
+    example that was copied around.
     A null owner or repository is one of its own; a null text has no spans; repeated rows each get
     a row; an empty table gives none. Only named columns are read, so others cannot clash."""
     name = lambda cols: F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]))
@@ -112,7 +113,7 @@ def scan(
     found = rows.select("row", "owner", "repository", F.explode("spans").alias("x")).select("row", "owner", "repository", "x.*")
     counts = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(counts, ["digest", "salt"])
-    judged = judged.where((F.col("rank") < 3) | (F.col("owners") <= max_owners))
+    judged = judged.where((F.col("rank") < 3) | (F.col("owners") <= max_owners) | (F.col("repositories") <= max_repositories))
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "owners", "repositories"))).alias("judged"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,owners:bigint,repositories:bigint>>")
     return rows.join(by_row, "row", "left").select("doc_id", F.coalesce("judged", none).alias("spans"), "carry")
@@ -124,16 +125,24 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owners: int = 1, length: str | None = None, **options) -> DataFrame:
-    """docs with every owner-specific secret replaced by MASK; examples that several owners have stay.
-    length names a column that holds the text's length, to be set anew where the text changes.
+#: A value is a widely copied example where more owners and more repositories than these have it.
+WIDE_OWNERS, WIDE_REPOSITORIES = 10, 10
+
+
+def redact(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_owners: int = 1, max_repositories: int = 0, length: str | None = None, **options,
+) -> DataFrame:
+    """docs with every secret replaced by MASK that at most max_owners owners or at most max_repositories
+    repositories have; examples that more of both have stay. length names a column that holds the
+    text's length, to be set anew where the text changes.
 
     Rows are matched by id and text, so repeated rows are all redacted. Only rows with a candidate
     are shuffled with their text. Spans that overlap are masked as one."""
     key = row_key(doc_id, text).alias("key")
     some = F.coalesce(F.col(text).rlike(f"{ASSIGN}|(?-i:{ACCESS}|{HEX.replace('+', '{24,}')}|{RUN})"), F.lit(False))
-    cut = scan(docs, doc_id, text, max_owners=max_owners, carry=[key], **options)
-    cut = cut.select(F.col("carry.key").alias("key"), F.filter("spans", lambda x: x["owners"] <= max_owners).alias("cut")).where(F.size("cut") > 0)
+    cut = scan(docs, doc_id, text, max_owners=max_owners, max_repositories=max_repositories, carry=[key], **options)
+    few = lambda x: (x["owners"] <= max_owners) | (x["repositories"] <= max_repositories)
+    cut = cut.select(F.col("carry.key").alias("key"), F.filter("spans", few).alias("cut")).where(F.size("cut") > 0)
     cut = cut.groupBy("key").agg(F.first("cut").alias("cut"))
     packed = docs.select(F.struct("*").alias("doc"), some.alias("some"), key)
     clean = packed.where(~F.col("some")).select("doc")
