@@ -107,3 +107,8 @@ def test_fold_queries_keep_near_questions_together(spark, sf):
     pairs = [(r["a"], r["b"]) for r in entry_points.queries()["j06_near_pairs"](spark, sf).collect()]
     assert all(f[a] == f[b] for f in placed.values() for a, b in pairs if a in f and b in f)
     assert not [r for r in entry_points.queries()["k07_fold_check"](spark, sf).collect() if "leak" in r["what"]]
+
+
+def test_parts_of_a_method_do_not_bear_its_id():
+    names = entry_points.queries().keys()
+    assert {"m01_scores_auc", "k08_report"} <= names and not {n for n in names if n.startswith(("m03_", "k16_"))}

@@ -205,9 +205,9 @@ def m01(spark, sf_dir):
     return learned.oof_logistic(x, folds(spark, sf_dir), SURFACE, "reliable")
 
 
-@query("m03_stack_auc")
+@query("m01_scores_auc")
 def m03(spark, sf_dir):
-    """AUC of a stacked head on a run's scores, out of fold."""
+    """AUC of the plain M01 head on a run's scores, out of fold; not the stack of M03."""
     s = guards.with_reliable(scores(spark, sf_dir))
     p = learned.oof_logistic(s, folds(spark, sf_dir), ("p_faith", "p_rel"), "reliable")
     return metrics.roc_auc(p.join(s.select("id", "reliable"), "id"), "p", "reliable")

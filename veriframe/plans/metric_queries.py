@@ -269,7 +269,7 @@ def k08(spark, sf_dir):
     return r9(thresholds.cross_validate(judged(spark, sf_dir).select("id", "y", "s"), folds(spark, sf_dir), "y", "s"), "oof_score", "vote")
 
 
-@query("k16_report", with_(CASES, A, JUDGED, FOLDS, GRID, FITTED, VOTES) + f"select n, (select count(*) from judged) - n as n_excluded, tn, fp, fn, tp, round({f1()}, 9) as macro_f1 from (select count(*) as n, {counts('y', '(case when vote >= 0.5 then 1 else 0 end)')} from votes)")
+@query("k08_report", with_(CASES, A, JUDGED, FOLDS, GRID, FITTED, VOTES) + f"select n, (select count(*) from judged) - n as n_excluded, tn, fp, fn, tp, round({f1()}, 9) as macro_f1 from (select count(*) as n, {counts('y', '(case when vote >= 0.5 then 1 else 0 end)')} from votes)")
 def k16(spark, sf_dir):
     return r9(thresholds.cross_validated_report(judged(spark, sf_dir).select("id", "y", "s"), folds(spark, sf_dir), "y", "s"), "macro_f1")
 
