@@ -34,13 +34,41 @@ def test_whole_texts_have_parity(reference):
 
 def test_units_put_together_equal_whole_texts(reference, monkeypatch):
     texts = odd_texts()
-    for long, chunk in ((1 << 20, 1 << 14), (5, 3)):
+    for long, chunk, remembered in ((1 << 20, 1 << 14, 600_000), (5, 3, 600_000), (200, 3, 10)):
         monkeypatch.setattr(codec, "LONG", long)
         monkeypatch.setattr(codec, "CHUNK", chunk)
-        for t, (n, ids, back, trip, same) in zip(texts, codec.backend(PATH).rows(texts), strict=True):
+        monkeypatch.setattr(codec, "REMEMBERED", remembered)
+        codec.backend(PATH).memory.clear()
+        found = [r for some in codec.together(texts) for r in codec.backend(PATH).rows(some)]
+        for t, (n, ids, back, trip, same) in zip(texts, found, strict=True):
             want = reference.encode(t)
             assert (n, ids, same) == (len(want), codec.digest(want), True)
             assert back == codec.sha(reference.decode(want)) and trip == (reference.decode(want) == t)
+    assert len(codec.backend(PATH).memory) <= 10 + 200
+
+
+def broken():
+    """The backend with the merges of one piece taken out of the rebuilt model."""
+    with open(PATH, "rb") as f:
+        data = f.read()
+    m = codec.parse(data)
+    own, every = codec.backend(PATH), codec.merges(m)
+    keep = codec.merges
+    try:
+        codec.merges = lambda _: [x for x in every if "".join(x) != "▁the"]
+        return codec.Backend(codec.build(m), own.reference, own.by_units, own.threads)
+    finally:
+        codec.merges = keep
+
+
+def test_ids_are_the_rebuilt_models_and_parity_tells_where_they_differ(reference):
+    b = broken()
+    for text, same in (("a cat sat", True), ("on the mat", False), ("a the", False), ("then", None)):
+        ours = b.tok.encode(text, add_special_tokens=False).ids
+        n, ids, back, trip, parity = next(iter(b.rows([text])))
+        assert (n, ids) == (len(ours), codec.digest(ours)) and back == codec.sha(text) and trip
+        assert parity == (ours == reference.encode(text)) and same in (None, parity)
+    assert b.encode(["on the mat"])[0] != (reference.encode("on the mat"), True)
 
 
 def test_protobuf_gives_what_the_library_says(reference):
@@ -89,6 +117,19 @@ def test_unigram_models_too():
         assert tok.encode(t, add_special_tokens=False).ids == own.encode(t)
 
 
+def test_unigram_column_through_the_operator(spark, tmp_path):
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(unigram_model())
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the there", "", None, "there  re", "é the q", "t h e"]
+    rows = codec.coded(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), path).select("doc.text", "ids_sha256", "decoded_sha256", "parity").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = own.encode(r["text"] or "")
+        assert (r["ids_sha256"], r["decoded_sha256"], r["parity"]) == (codec.digest(want), codec.sha(own.decode(want)), True)
+
+
 def test_awkward_rows(spark, reference):
     rows = codec.coded(frame(spark), PATH).select("doc.text", "n_tokens", "ids_sha256", "round_trip", "parity").collect()
     assert len(rows) == len(ROWS)

@@ -156,73 +156,83 @@ class Backend:
     reference: object
     by_units: bool
     threads: int
-    #: What each id shows, and the last id that isn't a piece of text (bytes, unknown, control).
-    pieces: list[str]
-    last_byte: int
     #: Unit to its packed ids.
     memory: dict[str, bytes] = field(default_factory=dict)
-    #: The few units that don't decode to themselves or lack parity: (decoded with its leading space, parity).
+    #: The few units that don't decode to themselves or lack parity: (decoded, parity).
     odd: dict[str, tuple[str, bool]] = field(default_factory=dict)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """(ids, parity) of whole texts. Where the libraries differ the ids are sentencepiece's, as
-        those define the model, and parity is False. An empty text has no ids."""
+        """(ids, parity) of whole texts: the built tokenizer's ids, and whether the sentencepiece library
+        gives the same. An empty text has no ids."""
         ours = [e.ids if t else [] for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         theirs = self.reference.encode(texts, num_threads=self.threads)
-        return [(b, a == b) for a, b in zip(ours, theirs, strict=True)]
+        return [(a, a == b) for a, b in zip(ours, theirs, strict=True)]
 
     def decode(self, lists: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(lists, skip_special_tokens=False)
 
+    def ready(self, units: set[str]) -> None:
+        """Make sure that all units are known. What is remembered stays under REMEMBERED units and these."""
+        missing = units - self.memory.keys()
+        if missing and len(self.memory) + len(missing) > REMEMBERED:
+            self.memory.clear()
+            self.odd.clear()
+            missing = units
+        if missing:
+            self.learn(list(missing))
+
     def learn(self, units: list[str]) -> None:
-        """Encode, verify and decode units that are met for the first time."""
+        """Encode, verify and decode units."""
         found = self.encode(units)
-        special = [k for k, (i, _) in enumerate(found) if min(i, default=0) <= self.last_byte]
-        backs = dict(zip(special, self.decode([found[k][0] for k in special]), strict=True))
-        for k, (u, (ids, same)) in enumerate(zip(units, found, strict=True)):
+        for k, u in enumerate(units):
             if not u:  # a marker with nothing behind it, which encoding an empty text leaves out
-                ids = [self.reference.piece_to_id(MARK)]
+                found[k] = [self.tok.token_to_id(MARK)], self.tok.token_to_id(MARK) == self.reference.piece_to_id(MARK)
+        for u, (ids, same), back in zip(units, found, self.decode([i for i, _ in found]), strict=True):
             self.memory[u] = packed(ids)
-            back = " " + backs[k] if k in backs else "".join([self.pieces[i] for i in ids])
-            if not same or back != " " + u:
+            if not same or back != u:
                 self.odd[u] = back, same
 
-    def rows(self, texts: list[str]) -> list[tuple[int, str, str, bool, bool]]:
+    def rows(self, texts: list[str]) -> Iterator[tuple[int, str, str, bool, bool]]:
         """(ids, their digest, digest of the decoded text, whether that is the text, parity) of each text."""
         if not self.by_units:
             coded = self.encode(texts)
             backs = self.decode([i for i, _ in coded])
-            return [(len(i), digest(i), sha(b), b == t, same) for t, (i, same), b in zip(texts, coded, backs, strict=True)]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-            self.odd.clear()
-        short = [units_of(t) if len(t) <= LONG else [] for t in texts]
-        if new := [u for u in set().union(*short) if u not in self.memory]:
-            self.learn(new)
-        return [self.put_together(t, [u] if len(t) <= LONG else units(t)) for t, u in zip(texts, short, strict=True)]
+            yield from [(len(i), digest(i), sha(b), b == t, same) for t, (i, same), b in zip(texts, coded, backs, strict=True)]
+        elif len(texts) == 1 and len(texts[0]) > LONG:
+            yield self.put_together(texts[0], units(texts[0]))
+        else:
+            apart = [units_of(t) for t in texts]
+            self.ready(set().union(*apart))
+            for t, u in zip(texts, apart, strict=True):
+                yield self.put_together(t, [u])
 
     def put_together(self, text: str, chunks: Iterable[list[str]]) -> tuple[int, str, str, bool, bool]:
-        n, same, equal, first = 0, True, MARK not in text, True
+        """A text's row from its units, a list at a time. Its ids and its decoded text are the units'
+        ids and the decoded units laid end to end, and both digests are of those."""
+        n, same, equal, first, at = 0, True, True, True, 0
         ids, decoded = hashlib.sha256(), hashlib.sha256()
         for chunk in chunks:
-            if len(text) > LONG and (new := [u for u in set(chunk) if u not in self.memory]):
-                self.learn(new)
+            if not chunk:
+                continue
+            if len(text) > LONG:
+                self.ready(set(chunk))
             codes = b"".join(map(self.memory.__getitem__, chunk))
             n += len(codes) // 4
             ids.update(codes)
-            odd = bool(self.odd) and not self.odd.keys().isdisjoint(chunk)
-            if odd:
-                same, equal = same and all(self.odd[u][1] for u in chunk if u in self.odd), equal and all(u not in self.odd or self.odd[u][0] == " " + u for u in chunk)
-            if equal and len(text) <= LONG:
-                decoded.update(text.encode("utf-8", "surrogatepass"))
-            elif chunk:
-                back = "".join([self.odd[u][0] if u in self.odd else " " + u for u in chunk])
-                decoded.update(back[first:].encode("utf-8", "surrogatepass"))  # the first marker is no character
-            first = first and not chunk
-        return n, ids.hexdigest(), decoded.hexdigest(), equal, same
-
-
-#: Units remembered by a task, characters above which a text goes by chunks of units, and texts at a time.
+            back = " ".join(chunk)
+            if self.odd and not self.odd.keys().isdisjoint(chunk):
+                same = same and all(self.odd[u][1] for u in chunk if u in self.odd)
+                back = " ".join([self.odd[u][0] if u in self.odd else u for u in chunk])
+            if not first:  # the first marker is no character
+                back = " " + back
+            equal, first = equal and text.startswith(back, at), False
+            at += len(back)
+            decoded.update(back.encode("utf-8", "surrogatepass"))
+        return n, ids.hexdigest(), decoded.hexdigest(), equal and at == len(text), same
+
+
+#: Units remembered by a task, characters of the texts that are taken at a time (a longer text goes alone,
+#: by chunks of units), texts at a time, and threads of the libraries.
 REMEMBERED, LONG, CHUNK, BATCH, THREADS = 600_000, 1 << 20, 1 << 14, 512, 2
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -240,6 +250,20 @@ def units_of(text: str) -> list[str]:
     return [u[1:].replace(MARK, " ") for u in UNIT.findall(marked(text))]
 
 
+def together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in lists of at most BATCH and of at most LONG characters, a longer text on its own."""
+    some: list[str] = []
+    n = 0
+    for t in texts:
+        if some and (len(some) == BATCH or n + len(t) > LONG):
+            yield some
+            some, n = [], 0
+        some.append(t)
+        n += len(t)
+    if some:
+        yield some
+
+
 def units(text: str) -> Iterator[list[str]]:
     """The units of a long text, some at a time."""
     found = (m[0][1:].replace(MARK, " ") for m in UNIT.finditer(marked(text)))
@@ -256,9 +280,7 @@ def backend(path: str, threads: int = THREADS) -> Backend:
     with open(path, "rb") as f:
         data = f.read()
     model = parse(data)
-    special = [i for i, (_, _, kind) in enumerate(model.pieces) if kind not in (NORMAL, USER_DEFINED)]
-    shown = [p.replace(MARK, " ") for p, _, _ in model.pieces]
-    return Backend(build(model), sentencepiece.SentencePieceProcessor(model_proto=data), apart(model), threads, shown, max(special, default=-1))
+    return Backend(build(model), sentencepiece.SentencePieceProcessor(model_proto=data), apart(model), threads)
 
 
 def sha(text: str) -> str:
@@ -279,32 +301,31 @@ COLUMNS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip b
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc, n_tokens, ids_sha256, decoded_sha256, round_trip, parity) for every row.
 
-    doc holds the row as it came. ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip tells whether
-    decoding gives the text back, which a normaliser or a marker in the text may prevent; parity
-    whether both libraries agree on all of the text. Where the model lets units be encoded one by
-    one, each distinct unit of a batch is encoded, verified and decoded once, and a text is put
-    together from its units; else whole texts are. A null text is an empty one: no ids, decoded
-    empty. path is a model file that every executor has. Memory is a batch's texts and the units
+    doc holds the row as it came. ids_sha256 is of the built tokenizer's ids as little-endian 32-bit
+    numbers, decoded_sha256 of what it decodes them to; round_trip tells whether that is the text, which
+    a normaliser or a marker in the text may prevent; parity whether the sentencepiece library gives the
+    same ids for all of the text. Where the model lets units be encoded one by one, each distinct unit
+    of a batch is encoded, verified and decoded once, and a text is put together from its units; else
+    whole texts are. A null text is an empty one: no ids, decoded empty. path is a model file that
+    every executor has. Memory is LONG characters of texts or one text, their units, and the units
     remembered. Repeated rows stay; no rows give none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         codec = backend(path)
         for series in batches:
-            texts = [t or "" for t in series]
-            yield pd.DataFrame([r for k in range(0, len(texts), BATCH) for r in codec.rows(texts[k : k + BATCH])], columns=names)
+            yield pd.DataFrame([r for some in together(t or "" for t in series) for r in codec.rows(some)], columns=names)
 
     return docs.select(F.struct("*").alias("doc"), F.pandas_udf(run, COLUMNS, F.PandasUDFType.SCALAR_ITER)(F.col(text)).alias("s")).select("doc", "s.*")
 
 
 def encode_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(doc, ids, parity): the ids themselves, by whole texts."""
+    """(doc, ids, parity): the built tokenizer's ids themselves, and whether sentencepiece's are the same, by whole texts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = backend(path)
         for series in batches:
-            texts = [t or "" for t in series]
-            found = [x for k in range(0, len(texts), BATCH) for x in codec.encode(texts[k : k + BATCH])]
+            found = [x for some in together(t or "" for t in series) for x in codec.encode(some)]
             yield pd.DataFrame({"ids": [i for i, _ in found], "parity": [p for _, p in found]})
 
     udf = F.pandas_udf(run, "ids array<int>, parity boolean", F.PandasUDFType.SCALAR_ITER)
