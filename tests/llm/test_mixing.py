@@ -1,5 +1,6 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -75,3 +76,23 @@ def test_mix_emits_rows_and_empty_table(spark):
     out = mixing.mix(frame(spark))
     assert out.columns == frame(spark).columns and out.count() > 0
     assert mixing.systematic_copies(frame(spark, [])).count() == 0
+
+
+def test_any_order_of_rows_gives_the_same_mix(spark, monkeypatch):
+    """Rows of one id and size, rows without an id, and ids whose buckets all collide."""
+    rows = [(i % 40, f"{'w ' * (i % 5)}x{i}", "en", f"s{i % 3}") for i in range(300)] + [(None, f"y{i} z", "en", "s1") for i in range(50)]
+    rows += [(7, "a b", None, "s0"), (7, "a b", "en", "s0"), (7, "a b", "de", "s0"), (7, None, "en", "s0"), (7, "", "en", "s0")] * 2
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(mixing, "number", lambda digest: mixing.F.lit(5).cast("bigint") + mixing.F.length(digest) * 0)
+        mixes = []
+        for seed in range(3):
+            random.Random(seed).shuffle(rows)
+            mixes.append(Counter(mixing.mix(frame(spark, rows).repartition(3 + seed)).collect()))
+        assert mixes[0] == mixes[1] == mixes[2]
+
+
+def test_rows_without_an_id_are_dealt_over_buckets(spark):
+    docs = frame(spark, [(None, f"y{i} z", "en", "s1") for i in range(200)])
+    keys = docs.select(mixing.number(mixing.order_key(mixing.F.col("doc_id"), mixing.row_digest(docs.columns))).alias("h"))
+    assert keys.selectExpr("h div 67108864 as bucket").distinct().count() > 40

@@ -48,20 +48,20 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sum(4 + n_role + 1 + n_text + 8)::bigint as formatted_chars, 'turn_rows' as layout
 from escaped group by conv_id"""
 
-NUMBER = "cast('0x' || substr(md5({}), 1, 8) as bigint)"
+NUMBER = "cast('0x' || substr({}, 1, 8) as bigint)"
 
 #: Up to LEAST_BUCKETS * CELL_ROWS documents, where the operator has as many hash buckets as here.
 MIXING = rf"""with sized as (select doc_id, source is null as no_source, coalesce(source, '') as source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-  {NUMBER.format("coalesce(cast(doc_id as varchar), '')")} as h from documents),
-classed as (select *, case when size < 16 then size else length(bin(size)) * 32 + (size >> (length(bin(size)) - 5)) end as class, floor(h * {LEAST_BUCKETS} / 4294967296.0::double) as bucket from sized),
-ranked as (select *, row_number() over (partition by no_source, source order by class, bucket, h, size) - 1 as rank from classed),
+  coalesce(md5(cast(doc_id as varchar)), md5(coalesce(text, ''))) || md5(coalesce(text, '')) as key from documents),
+classed as (select *, case when size < 16 then size else length(bin(size)) * 32 + (size >> (length(bin(size)) - 5)) end as class, floor({NUMBER.format("key")} * {LEAST_BUCKETS} / 4294967296.0::double) as bucket from sized),
+ranked as (select *, row_number() over (partition by no_source, source order by class, bucket, key, size) - 1 as rank from classed),
 sources as (select no_source, source, sum(size)::bigint as source_size from sized group by 1, 2),
 weighed as (select *, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by no_source, source) - 1) % 3 + 1] as w, 2.0::double * source_size as cap from sources),
 levels as (select *, cap / w as turn, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, no_source, source rows between unbounded preceding and 1 preceding), 0))
   / (sum(w) over () - coalesce(sum(w) over (order by cap / w, no_source, source rows between unbounded preceding and 1 preceding), 0)) as level from weighed),
 targets as (select no_source, source, source_size, least(cap, coalesce((select level from levels where turn >= level order by turn, no_source, source limit 1), 'inf'::double) * w) as target from levels),
 due as (select r.doc_id, r.size, t.source_size, t.target, r.rank, case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as due,
-  ({NUMBER.format("'7:' || r.no_source || ':' || r.source")} % {OFFSET_STEPS}) / {OFFSET_STEPS}.0::double as u from ranked r join targets t using (no_source, source))
+  ({NUMBER.format("md5('7:' || r.no_source || ':' || r.source)")} % {OFFSET_STEPS}) / {OFFSET_STEPS}.0::double as u from ranked r join targets t using (no_source, source))
 select doc_id, size, source_size, target, cast((floor((rank + 1) * due + u) - floor(rank * due + u)) * size as bigint) as taken from due"""
 
 SQL = {"op1_secret_scan": SECRETS, "op2_chat_format": CHAT, "op8_mixing": MIXING}

@@ -84,8 +84,10 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    taken = mixing.systematic_copies(materialise(docs), size=F.col("size"))
+    docs = read(spark, sf_dir, "documents")
+    key = mixing.order_key(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    docs = materialise(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), key.alias("key")))
+    taken = mixing.systematic_copies(docs, size=F.col("size"), key=F.col("key"))
     return taken.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
