@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe import schemas
-from veriframe.operators import graph, groups, learned, sampling
+from veriframe.operators import graph, groups, joins, learned, sampling
 from veriframe.sources import readers, writers
 from veriframe.streaming import incremental
 
@@ -173,3 +173,14 @@ def test_stream_scores_each_id_once(spark, tmp_path):
         spark.createDataFrame(part, "id string, answer string").write.mode("append").json(source)
         incremental.score_stream(spark, source, "id string, answer string", sink, "id string, score double", check, score).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.schema("id string, score double").json(sink).collect()) == [("1", 1.0), ("2", 2.0), ("3", 3.0)]
+
+
+def test_join_counted_deals_hot_keys_and_keeps_all_rows(spark):
+    rows = [(1, i) for i in range(500)] + [(2, 0), (2, 0), (3, 1), (None, 7)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    table = spark.createDataFrame([(1, "a", 500), (2, "b", 2), (4, "d", 0), (None, "n", 1)], "k long, name string, n long")
+    for limit in (1, 50, 1000):
+        got = Counter(map(tuple, joins.join_counted(left, table, "k", "n", F.col("v"), limit).select("k", "v", "name").collect()))
+        assert got == Counter((k, v, {1: "a", 2: "b"}[k]) for k, v in rows if k in (1, 2))
+    assert joins.join_counted(left.limit(0), table, "k", "n", F.col("v")).count() == 0
+    assert joins.join_counted(left, table.limit(0), "k", "n", F.col("v")).count() == 0
