@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,8 +61,40 @@ def test_every_link_within_three_bits_is_found(spark, monkeypatch, part):
     dense = rng.getrandbits(64)
     fps += [dense ^ sum(1 << b for b in rng.sample(range(48), rng.randint(0, 6))) for _ in range(150)]
     got, want = linked(spark, fps), slow_components(dict(enumerate(fps)))
-    classes = lambda m: sorted(tuple(sorted(d for d in m if m[d] == c)) for c in set(m.values()))
+    assert sorted(map(sorted, grouped(got).values())) == sorted(map(sorted, grouped(want).values()))
+
+
+@pytest.mark.parametrize("part", [17, 300])
+def test_crowded_buckets_are_split_without_loss(spark, monkeypatch, part):
+    """Thousands of fingerprints in one bucket, a neighbour with few plain rows, and clusters in both."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(3)
+    half = rng.getrandbits(32) & ~(1 << 20)
+    fps = {half | rng.getrandbits(32) << 32 for _ in range(3000)}
+    near = [half | 1 << 20 | (f >> 32 ^ (1 << rng.randrange(32))) << 32 for f in sorted(fps)[:60]]
+    fps |= {*near, *[f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for f in sorted(fps)[:400]]}
+    fps = sorted(fps)
+    got, want = linked(spark, fps), slow_components(dict(enumerate(fps)))
+    classes = lambda m: Counter(frozenset(x) for x in [*grouped(m).values()])
     assert classes(got) == classes(want)
+    unique = spark.createDataFrame([(int(np.array([f], np.uint64).view(np.int64)[0]),) for f in fps], "fp long")
+    cells = simhash.cells_of(unique)
+    sizes = cells.groupBy(*simhash.CELL).count().agg({"count": "max"}).first()[0]
+    assert sizes <= 3 * part + 200 and cells.count() < 37 * 37 * len(fps)
+
+
+def grouped(m):
+    out = {}
+    for d, c in m.items():
+        out.setdefault(c, []).append(d)
+    return out
+
+
+def test_many_copies_are_dealt_when_they_meet_their_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 20)
+    rows = [(i, "", "en", "a") for i in range(100, 400)] + [(i, f"one two three {i % 7}", "en", "a") for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == slow_components({d: slow_fingerprint(t) for d, t, *_ in rows})
 
 
 def test_ring_condition_holds_for_all_links():
