@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -30,14 +33,56 @@ def test_base_spans_equal_brute_force(spark):
 
 
 def test_ownership_separates_copied_examples_from_owned_values(spark):
-    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark)).collect()}
-    assert [(x["rank"], x["owners"]) for x in rows[7]] == [(3, 1)]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark), wide_share=0.2).collect()}
+    assert [(x["rank"], x["owners"], x["copied"]) for x in rows[7]] == [(3, 1, False)]
     assert rows[8] == [] and rows[9] == []
     assert all(x["owners"] == 1 and x["repositories"] == 1 for x in rows[1])
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark)).collect()}  # 2 of 6 owners are not many
+    assert [(x["rank"], x["owners"], x["repositories"], x["copied"]) for x in rows[8]] == [(3, 2, 2, False)]
+
+
+def test_repositories_count_too(spark):
+    """A value of two in three owners is an example only if many repositories have it too."""
+    value = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    docs = [(i, f"x {value}" if i % 6 == 0 else "nothing", f"r{i}", f"o{i // 6}") for i in range(18) if i < 12 or i % 6]
+    spans = lambda **how: [x for r in secrets.scan(frame(spark, docs), **how).collect() for x in r["spans"]]
+    assert spans(wide_share=0.3, wide_most=1) == []
+    assert [(x["owners"], x["repositories"], x["copied"]) for x in spans(wide_share=0.3)] == [(2, 2, False)] * 2
+    assert spans(wide_share=0.3, repository=("doc_id",), wide_most=1) == []
+
+
+def slow_mask(text, spans):
+    out, at = "", 0
+    for s, e in spans:
+        if s >= at:
+            out += text[at:s] + secrets.MASK
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_spans_that_overlap_and_masks_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = ["é token=abcdef12", "AKIA" + "Q7" * 9, "0a1b2c3d" * 4, "Zq7Tn2Wv9Xk4Lm8Pr3Bs6", "token=Zq7Tn2Wv9Xk4Lm8Pr3Bs6", " ", "plain 😀", "=secret:Zq7Tn2Wv9Xk4Lm8Pr3Bs6" + "0a1b2c3d" * 3]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts.append("".join(rng.choice(words) + " " for _ in range(4000)))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    spans = {r["doc_id"]: [(x["start"], x["end"], x["rank"]) for x in r["spans"]] for r in secrets.scan(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        fixed = base(t)
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t)]
+        extra = [r for r in runs if not any(s < r[1] and r[0] < e for _, s, e in fixed) and re.search("[0-9]", t[slice(*r)]) and re.search("[A-Za-z]", t[slice(*r)]) and bits(t[slice(*r)]) >= 3.5]
+        assert [(s, e) for s, e, rank in spans[i] if rank == 3] == extra
+        assert [(s, e) for s, e, rank in spans[i] if rank < 3] == [(s, e) for _, s, e in fixed]
+        assert out[i] == slow_mask(t, [(s, e) for s, e, _ in spans[i]])
+
+
+def bits(value):
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
 def test_redaction_keeps_rows_and_takes_owned_values(spark):
-    out = secrets.redact(frame(spark))
+    out = secrets.redact(frame(spark), wide_share=0.2)
     assert out.columns == frame(spark).columns
     rows = out.collect()
     assert len(rows) == len(ROWS)

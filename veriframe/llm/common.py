@@ -34,28 +34,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_offsets(steps: Column, block: int = 256) -> Column:
-    """For an array of numbers, what stands before each: 0, s0, s0+s1, ... (bigint).
+def upto(n: Column) -> Column:
+    """0, 1, ... n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    Sums go over blocks first and then inside each block, so a row with n numbers costs about
-    n * block additions and not n * n."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def inside(a: Column, offsets: Column) -> Column:
+#: Elements that a running value goes over at a time.
+STRETCH = 256
+
+
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column], block: int = STRETCH) -> Column:
+    """For an array, join of zero and of what stands before each element (join must be associative).
+
+    It goes over blocks first and then inside each block, so n elements cost about n * block
+    steps and not n * n."""
+    total = lambda a: F.aggregate(a, zero, join)
+
+    def inside(a: Column, before: Column) -> Column:
         one = lambda b: let(
             F.slice(a, b * block + 1, F.lit(block)),
-            lambda s: F.transform(upto(F.size(s)), lambda i: F.get(offsets, b) + total(F.slice(s, F.lit(1), i))),
+            lambda s: F.transform(upto(F.size(s)), lambda i: join(F.get(before, b), total(F.slice(s, F.lit(1), i)))),
         )
-        return F.flatten(F.transform(upto(F.size(offsets)), one))
+        return F.flatten(F.transform(upto(F.size(before)), one))
 
     def outer(a: Column) -> Column:
         n_blocks = F.ceil(F.size(a) / block).cast("int")
-        sums = F.transform(upto(n_blocks), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
-        offsets = let(sums, lambda s: F.transform(upto(F.size(s)), lambda i: total(F.slice(s, F.lit(1), i))))
-        return let(offsets, lambda o: inside(a, o))
+        blocks = F.transform(upto(n_blocks), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+        before = let(blocks, lambda s: F.transform(upto(F.size(s)), lambda i: total(F.slice(s, F.lit(1), i))))
+        return let(before, lambda o: inside(a, o))
+
+    return let(values, outer)
+
 
-    return let(steps, outer)
+def running_offsets(steps: Column) -> Column:
+    """For an array of numbers, what stands before each: 0, s0, s0+s1, ... (bigint)."""
+    return running(steps, F.lit(0).cast("bigint"), lambda x, y: x + y)
 
 
 def hash_fraction(key: Column, seed: int) -> Column:

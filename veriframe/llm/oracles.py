@@ -6,7 +6,7 @@ a seed (10); tests hold those against brute force, round trips and held-out rows
 from __future__ import annotations
 
 from .mixing import LEAST_BUCKETS, OFFSET_STEPS
-from .secrets import ACCESS, ASSIGN, HEX, RUN
+from .secrets import ACCESS, ASSIGN, HEX, RUN, WIDE_MOST, WIDE_SHARE
 
 
 def text_of(s: str) -> str:
@@ -14,28 +14,30 @@ def text_of(s: str) -> str:
 
 
 def located(name: str, kind: str, pattern: str, value: str, keep: str) -> str:
-    """(doc_id, source, text, start, finish, kind, value) of the matches of a pattern that pass keep."""
+    """(doc_id, owner, repository, start, finish, kind, value) of the matches of a pattern that pass keep."""
     return f"""{name} as (
-  select doc_id, source, s as start, s + length(m) as finish, '{kind}' as kind, {value} as value from (
-    select doc_id, source, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: length(ps[1]) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(ms[j]) + length(ps[j + 1]))), 0))) as s
-    from (select doc_id, source, regexp_extract_all(t, {text_of(pattern)}) as ms, regexp_split_to_array(t, {text_of(pattern)}) as ps from texts) where len(ms) > 0) where {keep})"""
+  select doc_id, owner, repository, s as start, s + length(m) as finish, '{kind}' as kind, {value} as value from (
+    select doc_id, owner, repository, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: length(ps[1]) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(ms[j]) + length(ps[j + 1]))), 0))) as s
+    from (select doc_id, owner, repository, regexp_extract_all(t, {text_of(pattern)}) as ms, regexp_split_to_array(t, {text_of(pattern)}) as ps from texts) where len(ms) > 0) where {keep})"""
 
 
 GROUP_2 = f"regexp_extract(m, {text_of(ASSIGN)}, 2)"
 ENTROPY = "-list_sum(list_transform(list_distinct(string_split(m, '')), lambda c: ((length(m) - length(replace(m, c, '')))::double / length(m)) * log2((length(m) - length(replace(m, c, '')))::double / length(m))))"
 
-SECRETS = f"""with texts as (select doc_id, source, coalesce(text, '') as t from documents),
+SECRETS = f"""with texts as (select doc_id, coalesce('is ' || source, 'none') as owner, coalesce('is ' || source, 'none') || ' ' || coalesce('is ' || lang, 'none') as repository, coalesce(text, '') as t from documents),
 {located("a", "assign", ASSIGN, GROUP_2, f"length({GROUP_2}) >= 6")},
 {located("k", "access", ACCESS, "m", "length(m) >= 20")},
 {located("h", "hex", HEX, "m", "length(m) >= 24")},
 base as (select *, 0 as rank from a union all select *, 1 from k union all select *, 2 from h),
 {located("r", "owned", RUN, "m", f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and {ENTROPY} >= 3.5")},
 found as (select * from base union all select *, 3 from r where not exists (select 1 from base b where b.doc_id = r.doc_id and b.start < r.finish and r.start < b.finish)),
-owners as (select value, count(distinct coalesce('is ' || source, 'none')) as owners from found group by value),
-spans as (select f.*, o.owners, kind || ':' || start || ':' || finish as written from found f join owners o using (value) where rank < 3 or owners <= 1)
+every as (select greatest(1, least({WIDE_MOST}, floor(count(distinct owner) * {WIDE_SHARE}))) as o, greatest(1, least({WIDE_MOST}, floor(count(distinct repository) * {WIDE_SHARE}))) as r from texts),
+owned as (select value, count(distinct owner) as owners, count(distinct repository) as repositories from found group by value),
+judged as (select h.*, owners > o and repositories > r as copied from owned h, every),
+spans as (select f.*, j.owners, j.repositories, j.copied, kind || ':' || start || ':' || finish as written from found f join judged j using (value) where rank < 3 or not copied)
 select d.doc_id, count(s.kind) filter (where kind = 'assign') as n_assign, count(s.kind) filter (where kind = 'access') as n_access, count(s.kind) filter (where kind = 'hex') as n_hex,
   sha256(coalesce(string_agg(written, ',' order by start, rank) filter (where rank < 3), '')) as base_sha256, coalesce(string_agg(written, ',' order by start, rank), '') as spans,
-  count(s.kind) filter (where owners <= 1) as n_owner_specific
+  count(s.kind) filter (where not copied) as n_owner_specific, coalesce(string_agg(owners || ':' || repositories, ',' order by start, rank), '') as owners_repositories
 from documents d left join spans s on s.doc_id = d.doc_id group by d.doc_id"""
 
 CHAT = r"""with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

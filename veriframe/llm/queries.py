@@ -18,7 +18,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.written(F.filter("spans", lambda x: x["rank"] < 3)), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
-        F.size(F.filter("spans", lambda x: x["owners"] <= 1)).cast("bigint").alias("n_owner_specific"),
+        F.size(F.filter("spans", lambda x: ~x["copied"])).cast("bigint").alias("n_owner_specific"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["owners"], x["repositories"])), ",").alias("owners_repositories"),
     )
 
 
