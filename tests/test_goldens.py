@@ -1,6 +1,8 @@
 """Small inputs whose results are known."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,15 +54,42 @@ def test_numbered_chunks_and_first_key(spark):
     assert one(spark, t.first_chunk_key(F.col("c")), c="no chunks") is None
 
 
-def test_conditions_and_coverage(spark):
-    assert grounding.canonical_numbers("100000 и 100 000 и 0,5") == ["0.5", "100000"]
-    found = grounding.conditions_of("Если сумма не менее 100 руб., то да. Только для физлиц")
-    assert [c["weight"] for c in found] == [1.0, 1.0, 0.5][: len(found)] or found[-1]["weight"] == 0.5
-    cases = spark.createDataFrame([("1", "лимит 100000", "[CHUNK 1]\nдо 100 000 рублей"), ("2", "да", "[CHUNK 1]\nпросто")], "id string, answer string, context string")
-    sources = spark.createDataFrame([("1", [0]), ("2", [0])], "id string, sources array<int>")
-    out = {r["id"]: r for r in grounding.coverage(cases, sources).collect()}
-    assert out["1"]["digit_coverage"] == 1.0 and out["1"]["n_conditions"] >= 1 and out["1"]["cond_coverage"] == 1.0
-    assert (out["2"]["n_conditions"], out["2"]["cond_coverage"], out["2"]["uncovered_max"]) == (0.0, 1.0, 0.0)
+def slow_conditions(text):
+    """Conditions by looking at every place of a text."""
+    marks = [m.span() for m in re.finditer("|".join(grounding.CONDITIONS), text, re.IGNORECASE)]
+    groups = [[m for m in marks[i:j]] for i, j in edges([k for k in range(1, len(marks)) if marks[k][0] - marks[k - 1][1] > grounding.GAP], len(marks))]
+    numbers = lambda x: {float(f"{float(re.sub(r'[ \xa0]', '', n).replace(',', '.')):.6g}") for n in re.findall(r"\d{1,3}(?:[\s\xa0]\d{3})+|\d+(?:[.,]\d+)?", x)}
+    return [(text[g[0][0] : g[-1][1]].strip(), numbers(text[g[0][0] : g[-1][1] + grounding.REACH])) for g in groups]
+
+
+def edges(cuts, n):
+    at = [0, *cuts, n]
+    return [(a, b) for a, b in zip(at, at[1:], strict=False) if b > a]
+
+
+def test_conditions_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    words = ["если", "Не менее", "до 100 000", "от 5", "рублей", "10 %", "12,5%", "3 дня", "минимальная", "слово", "кроме", "и", " , ", "в течение", "МАКСИМАЛЬНО", "еслибы", "\n", "\ue000", "тысяча слов подряд"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "   "]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["10% " * 6000, "", "до 5" + " слово" * 4000 + " до 6"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(-1, None)], "i long, x string")
+    got = {r["i"]: r["c"] for r in df.select("i", grounding.conditions(F.col("x")).alias("c")).collect()}
+    assert got[-1] == []
+    for i, x in enumerate(texts):
+        assert [(c["text"], set(c["numbers"])) for c in got[i]] == slow_conditions(x.replace("\ue000", "\ufffd")), x[:200]
+        assert all(c["weight"] == (1.0 if c["numbers"] else 0.5) for c in got[i])
+
+
+def test_coverage_of_named_chunks(spark):
+    cases = spark.createDataFrame([("1", "лимит 100000", "[CHUNK 1]\nдо 100 000 рублей"), ("2", "да", "[CHUNK 1]\nпросто"), ("3", "кроме прочего", "[CHUNK 1]\nкроме"), ("4", "x", "")], "id string, answer string, context string")
+    sources = spark.createDataFrame([("1", [0]), ("2", [0]), ("3", [0])], "id string, sources array<int>")
+    out = {r["id"]: r for r in grounding.of_all(cases, grounding.coverage(cases, sources)).collect()}
+    assert tuple(out["1"])[1:] == (1.0, 1.0, 1.0, 0.0, True)
+    assert tuple(out["2"])[1:] == (0.0, 1.0, 1.0, 0.0, True)
+    assert tuple(out["3"])[1:] == (1.0, 1.0, 1.0, 0.0, True)
+    assert tuple(out["4"])[1:] == (None, None, None, None, False)
+    for bad in ([], [0, 7], [-1]):
+        with pytest.raises(Exception, match="source chunk"):
+            grounding.coverage(cases, spark.createDataFrame([("1", bad)], "id string, sources array<int>")).collect()
 
 
 @pytest.mark.parametrize("v, want", [([0.95, 0.8, 0.2, 0.1], (0.95, 0.5125, 0.15, 2, 1)), ([0.7] * 4, (0.7, 0.7, 0.0, 4, 1)), ([1.0, 0.0, 0.0, 0.0], (1.0, 0.25, 1.0, 1, 1)), ([0.1, 0.2, 0.9, 0.4], (0.9, 0.4, 0.5, 1, 3)), ([0.73], (0.73, 0.73, 0.0, 1, 1))])

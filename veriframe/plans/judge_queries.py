@@ -41,23 +41,43 @@ def t10(spark, sf_dir):
     return s.select("id", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"))
 
 
-@query("j07_u08_pairs", with_(CASES, PAIRS) + "select id, count(*) as n, round(sum(entail), 6) as entail, round(sum(contra), 6) as contra from pairs group by id")
+@query("j07_u08_pairs", with_(CASES, PAIRS) + """select c.id, count(p.id) as n, round(sum(entail), 6) as entail, round(sum(contra), 6) as contra, count(p.id) > 0 as grounded
+  from cases c left join pairs p on p.id = c.id group by c.id""")
 def j07(spark, sf_dir):
-    p = grounding.pair_rows(cases(spark, sf_dir))
-    return p.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("entail"), 6).alias("entail"), F.round(F.sum("contra"), 6).alias("contra"))
+    c = cases(spark, sf_dir)
+    p = grounding.pair_rows(c).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("entail"), 6).alias("entail"), F.round(F.sum("contra"), 6).alias("contra"))
+    return grounding.of_all(c, p).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("g12_grounding", with_(CASES, GROUNDED) + """select id, round(max(e), 9) as max_entail, round(min(e), 9) as min_entail, round(avg(e), 9) as mean_entail, round(avg(c), 9) as mean_contra, round(max(c), 9) as max_contra,
-  round(avg(case when e < 0.5 then 1.0::double else 0.0::double end), 9) as frac_unsupported, count(*)::double as n_sentences, count(distinct source)::double as chunk_spread from per_sentence group by id""")
+@query("g12_grounding", with_(CASES, GROUNDED) + """, g as (select id, round(max(e), 9) as max_entail, round(min(e), 9) as min_entail, round(avg(e), 9) as mean_entail, round(avg(c), 9) as mean_contra, round(max(c), 9) as max_contra,
+  round(avg(case when e < 0.5 then 1.0::double else 0.0::double end), 9) as frac_unsupported, count(*)::double as n_sentences, count(distinct source)::double as chunk_spread from per_sentence group by id)
+  select g.* exclude (id), c.id, g.id is not null as grounded from cases c left join g on g.id = c.id""")
 def g12(spark, sf_dir):
-    g = grounding.grounding(grounding.pair_rows(cases(spark, sf_dir))).drop("sources")
-    return r9(g, *[c for c in g.columns if c not in ("id", "n_sentences", "chunk_spread")])
-
-
-@query("x04_x05_coverage")
+    c = cases(spark, sf_dir)
+    g = grounding.of_all(c, grounding.grounding(grounding.pair_rows(c)).drop("sources"))
+    return r9(g, *[n for n in g.columns if n not in ("id", "n_sentences", "chunk_spread", "grounded")])
+
+
+MARK = "(?i)(?:" + "|".join(grounding.CONDITIONS) + ")"
+NUMBERS = "list_distinct(list_transform(regexp_extract_all({}, '\\d{{1,3}}(?:[\\s\u00a0]\\d{{3}})+|\\d+(?:[.,]\\d+)?'), lambda n: printf('%.6g', replace(regexp_replace(n, '[\\s\u00a0]', '', 'g'), ',', '.')::double)))"
+COVERAGE = GROUNDED + f""", named as (select id, list_sort(list_distinct(list(source))) as sources from per_sentence group by id),
+source as (select c.id, lower(c.answer) as said, {NUMBERS.format("c.answer")} as given, array_to_string(list_transform(n.sources, lambda i: c.cs[i + 1]), chr(10)) as s from cut c join named n on n.id = c.id),
+marks as (select *, regexp_extract_all(s, '{MARK}') as ms, regexp_split_to_array(s, '{MARK}') as bs from source),
+laid as (select *, array_to_string(list_transform(range(1, len(ms) + 1), lambda i: (case when i = 1 then '\ue000' when length(bs[i]) > {grounding.GAP} then '\ue001' || bs[i] || '\ue000' else bs[i] end) || ms[i]), '') || '\ue001' || bs[-1] as l from marks),
+parts as (select id, said, given, {NUMBERS.format("s")} as numbers, case when len(ms) > 0 then string_split(l, '\ue000')[2:] else [] end as ps from laid),
+found as (select *, list_transform(range(1, len(ps) + 1), lambda i: {{'text': trim(split_part(ps[i], '\ue001', 1)),
+  'numbers': {NUMBERS.format(f"left(replace(array_to_string(ps[i:i + 4], ''), '{chr(0xe001)}', ''), length(split_part(ps[i], '{chr(0xe001)}', 1)) + {grounding.REACH})")}}}) as cs from parts),
+open as (select *, list_filter(cs, lambda c: case when len(c.numbers) > 0 then not list_has_all(given, c.numbers) else not contains(said, lower(c.text)) end) as os from found),
+x as (select id, len(cs)::double as n_conditions, case when len(cs) = 0 then 1.0::double else (len(cs) - len(os))::double / len(cs) end as cond_coverage,
+  case when len(numbers) = 0 then 1.0::double else len(list_intersect(numbers, given))::double / len(numbers) end as digit_coverage,
+  coalesce(list_max(list_transform(os, lambda c: case when len(c.numbers) > 0 then 1.0::double else 0.5::double end)), 0.0::double) as uncovered_max from open)
+select x.* exclude (id), c.id, x.id is not null as grounded from cases c left join x on x.id = c.id"""
+
+
+@query("x04_x05_coverage", with_(CASES, COVERAGE))
 def x04(spark, sf_dir):
     c = cases(spark, sf_dir)
-    return grounding.coverage(c, grounding.grounding(grounding.pair_rows(c)))
+    return grounding.of_all(c, grounding.coverage(c, grounding.grounding(grounding.pair_rows(c))))
 
 
 @query("g13_best_window", """with w as (select vec_id % 40 as pair, vec_id as win, embedding[1]::double as entail, embedding[2]::double as contra from embeddings)
