@@ -1,19 +1,18 @@
 """Chat formatting: schema fingerprints choose a mapping to canonical turns, a template marks them.
 
-DataFrame functions only."""
+A record's nested field paths, whatever their depth, are hashed; every distinct fingerprint of a table is
+looked up once in declarative layouts, and records follow their fingerprint. DataFrame functions only."""
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import let, running_offsets
+from ..operators.joins import join_counted
+from .common import let, materialise, row_key, running_offsets
 
 TURNS = "array<struct<role:string,text:string>>"
 #: The template's control strings and what stands for them inside texts. Every backslash of a text
@@ -25,10 +24,11 @@ OPEN, CLOSE = "### ", "</turn>\n"
 
 @dataclass(frozen=True)
 class Layout:
-    """How one shape of record maps to turns. A path is `name`, or `list[].name` inside a list.
+    """How one shape of record maps to turns.
 
-    Either items (a list with a role and a text for each turn) or parts (role and the paths whose
-    texts, joined by a blank line, make one turn). optional paths may be absent."""
+    Either items, the name of a list with a role and a text for each turn, or parts: roles, each with the
+    names of fields whose texts, joined by a blank line, make one turn. needed are the fields that must be
+    there; the other ones may be absent. roles renames roles."""
 
     name: str
     items: str | None = None
@@ -36,113 +36,144 @@ class Layout:
     text: str = "content"
     roles: tuple[tuple[str, str], ...] = ()
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    optional: tuple[str, ...] = field(default=())
-
-    def paths(self) -> tuple[str, ...]:
-        return (f"{self.items}[].{self.role}", f"{self.items}[].{self.text}") if self.items else tuple(p for _, ps in self.parts for p in ps)
+    needed: tuple[str, ...] = ()
 
 
+#: Where a record has the fields of several layouts, the first of these is taken: lists of turns hold all
+#: of a talk, and fields beside them repeat a part of it.
 LAYOUTS = (
     Layout("messages", items="messages", role="role", text="content"),
     Layout("turn_rows", items="turns", role="role", text="text"),
     Layout("from_value", items="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
-    Layout("instruction", parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
-    Layout("prompt_completion", parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("prompt_response", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
-    Layout("question_answer", parts=(("user", ("context", "question")), ("assistant", ("answer",))), optional=("context",)),
+    Layout("instruction", parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), needed=("instruction", "output")),
+    Layout("prompt_completion", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), needed=("prompt", "completion")),
+    Layout("prompt_response", parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), needed=("prompt", "response")),
+    Layout("question_answer", parts=(("user", ("context", "question")), ("assistant", ("answer",))), needed=("question", "answer")),
 )
+#: Objects that a layout's fields may stand in, besides the record itself.
+WRAPPERS = ("", "data", "record", "example", "sample", "conversation", "row")
+
+#: Tokens of a schema as schema_of_variant writes it: a field's name, the start and end of an object or a
+#: list, and a plain value's kind.
+TOKEN = r"`(?:[^`]|``)*`:|[^\s:<>,`]+:|OBJECT<|ARRAY<|>|[A-Z]+"
+
+
+def field_paths(schema: Column) -> Column:
+    """Sorted nested field paths of a schema: a.b for a field in an object, a[] for a list, a[]* for what
+    it holds that is no object or list, or is of mixed kinds.
+
+    Plain values of whatever kind give their path; nulls give none, so a field that is null is absent; an
+    empty object or list gives its own path. Names with dots or brackets are kept in backquotes."""
+    kind = "struct<stack:array<string>,name:string,paths:array<string>>"
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("name"), F.array().cast("array<string>").alias("paths")).cast(kind)
+
+    def step(s: Column, token: Column) -> Column:
+        top = F.element_at(s["stack"], F.lit(-1))
+        here = lambda name: F.when((top == "") | (name == ""), F.concat(top, name)).otherwise(F.concat_ws(".", top, name))
+        value = F.when(s["name"] == "", F.concat(top, F.lit("*"))).otherwise(here(s["name"]))
+        opened = lambda path: F.struct(F.array_append(s["stack"], path).alias("stack"), F.lit("").alias("name"), F.array_append(s["paths"], path).alias("paths"))
+        return (
+            F.when(token.endswith(":"), F.struct(s["stack"].alias("stack"), plain(token).alias("name"), s["paths"].alias("paths")))
+            .when(token == "OBJECT<", opened(here(s["name"])))
+            .when(token == "ARRAY<", opened(F.concat(here(s["name"]), F.lit("[]"))))
+            .when(token == ">", F.struct(F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1).alias("stack"), F.lit("").alias("name"), s["paths"].alias("paths")))
+            .when(token == "VOID", F.struct(s["stack"].alias("stack"), F.lit("").alias("name"), s["paths"].alias("paths")))
+            .otherwise(F.struct(s["stack"].alias("stack"), F.lit("").alias("name"), F.array_append(s["paths"], value).alias("paths")))
+            .cast(kind)
+        )
 
-
-def known_paths(layouts: Sequence[Layout]) -> list[str]:
-    return sorted({p for x in layouts for p in x.paths()})
-
-
-def fingerprints(layouts: Sequence[Layout]) -> dict[str, str]:
-    """The fingerprint of every set of paths that a layout accepts, to the layout's name."""
-    found: dict[str, str] = {}
-    for x in layouts:
-        needed = [p for p in x.paths() if p not in x.optional]
-        for n in range(len(x.optional) + 1):
-            for extra in itertools.combinations(x.optional, n):
-                digest = hashlib.sha256("\n".join(sorted({*needed, *extra})).encode()).hexdigest()
-                if found.setdefault(digest, x.name) != x.name:
-                    raise ValueError(f"layouts {found[digest]} and {x.name} have the same paths")
-    return found
-
-
-class JsonRecord:
-    """Paths of records that are JSON texts; a text that can't be parsed has no path."""
-
-    def __init__(self, column: str):
-        self.value = F.try_parse_json(F.col(column))
-
-    def text(self, path: str) -> Column:
-        return F.try_variant_get(self.value, f"$['{path}']", "string")
-
-    def items(self, name: str, fields: Sequence[str]) -> Column:
-        kind = ",".join(f"`{f}`:string" for f in fields)
-        return F.try_variant_get(self.value, f"$['{name}']", f"array<struct<{kind}>>")
-
-
-class TypedRecord:
-    """Paths of records that are typed columns."""
-
-    def __init__(self, schema: T.StructType):
-        self.kinds = {f.name: f.dataType for f in schema}
-
-    def text(self, path: str) -> Column:
-        return F.col(f"`{path}`") if isinstance(self.kinds.get(path), T.StringType) else F.lit(None).cast("string")
-
-    def items(self, name: str, fields: Sequence[str]) -> Column:
-        kind = self.kinds.get(name)
-        inner = kind.elementType if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else T.StructType()
-        has = {f.name for f in inner if isinstance(f.dataType, T.StringType)}
-        if not has.intersection(fields):
-            return F.lit(None).cast("array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>")
-        one = lambda x: F.struct(*[(x[f] if f in has else F.lit(None).cast("string")).alias(f) for f in fields])
-        return F.transform(F.col(f"`{name}`"), one)
-
-
-def canonical_turns(records: DataFrame, json: str | None = None, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """records with fingerprint, layout and turns (array of role and text) added.
-
-    The known nested paths that a record has a value at are sorted, joined and hashed; paths that no
-    layout knows are left out, so metadata changes nothing. A record whose fingerprint no layout has
-    gets a null layout and null turns. Inside a list, a missing role or text is an empty one. A
-    record may have several layouts' fields only if that very set is a layout's. json names a column
-    of JSON texts; without it the columns of records are the fields. Columns called fingerprint,
-    layout or turns are replaced only in that the new ones come last: give such input a wrapper."""
-    record = JsonRecord(json) if json else TypedRecord(records.schema)
-    lists: dict[str, list[str]] = {}
-    for p in known_paths(layouts):
-        if "[]." in p:
-            name, _, leaf = p.partition("[].")
-            lists.setdefault(name, []).append(leaf)
-
-    def present(path: str) -> Column:
-        name, _, leaf = path.partition("[].")
-        has = F.exists(record.items(name, lists[name]), lambda x: x[leaf].isNotNull()) if leaf else record.text(path).isNotNull()
-        return F.when(has, F.lit(path))
-
-    def turns_of(x: Layout) -> Column:
-        if x.items:
-            roles = F.create_map(*[F.lit(s) for pair in x.roles for s in pair]) if x.roles else None
-            role = lambda r: F.coalesce(F.try_element_at(roles, r), r) if roles is not None else r
-            one = lambda t: F.struct(role(F.coalesce(t[x.role], F.lit(""))).alias("role"), F.coalesce(t[x.text], F.lit("")).alias("text"))
-            return F.transform(record.items(x.items, lists[x.items]), one)
-        texts = lambda ps: F.concat_ws("\n\n", *[record.text(p) for p in ps])
-        there = lambda ps: F.coalesce(*[record.text(p) for p in ps]).isNotNull()
-        turns = [F.when(there(ps), F.struct(F.lit(role).alias("role"), texts(ps).alias("text"))) for role, ps in x.parts]
-        return F.filter(F.array(*turns), lambda t: t.isNotNull())
-
-    table = fingerprints(layouts)
-    digest = F.sha2(F.array_join(F.array_compact(F.array(*[present(p) for p in known_paths(layouts)])), "\n"), 256)
-    named = records.withColumn("fingerprint", digest)
-    named = named.withColumn("layout", F.try_element_at(F.create_map(*[F.lit(s) for pair in table.items() for s in pair]), F.col("fingerprint")))
+    def plain(token: Column) -> Column:
+        name = F.substr(token, F.lit(1), F.length(token) - 1)
+        return F.when(name.rlike(r"^`[^`.\[\]]*`$"), F.translate(name, "`", "")).otherwise(name)
+
+    tokens = F.regexp_extract_all(F.regexp_replace(schema, r"DECIMAL\([0-9]+,[0-9]+\)", "DECIMAL"), F.lit(TOKEN), F.lit(0))
+    found = F.aggregate(tokens, start, step)["paths"]
+    return F.array_sort(F.array_distinct(F.filter(found, lambda p: (p != "") & (p != "*"))))
+
+
+def accepts(x: Layout, wrapper: str, paths: Column) -> Column:
+    """Whether a record with these paths has the layout x in the wrapper: fields of parts, or a list that
+    is empty or has roles or texts."""
+    at = f"{wrapper}." if wrapper else ""
+    has = lambda p: F.array_contains(paths, at + p)
+    if not x.items:
+        return F.forall(F.array(*[F.lit(at + p) for p in x.needed]), lambda p: F.array_contains(paths, p) | F.array_contains(paths, F.concat(p, F.lit("[]"))))
+    inside = F.exists(paths, lambda p: F.startswith(p, F.lit(f"{at}{x.items}[]")) & (p != f"{at}{x.items}[]"))
+    return has(f"{x.items}[].{x.role}") | has(f"{x.items}[].{x.text}") | has(f"{x.items}[].{x.text}[]") | (has(f"{x.items}[]") & ~inside)
+
+
+def catalogue(shapes: DataFrame, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(fingerprint, paths, layout, wrapper, n) of every shape of record: one row for each fingerprint.
+
+    shapes has a row for each record with its schema. Layouts are tried in order, wrappers inside each;
+    layout and wrapper are null where none fits."""
+    each = shapes.groupBy("schema").agg(F.count(F.lit(1)).alias("n")).withColumn("paths", field_paths(F.col("schema")))
+    each = each.groupBy(fingerprint(F.col("paths")).alias("fingerprint")).agg(F.first("paths").alias("paths"), F.sum("n").alias("n"))
+    fits = [F.when(accepts(x, w, F.col("paths")), F.struct(F.lit(x.name).alias("layout"), F.lit(w).alias("wrapper"))) for x in layouts for w in wrappers]
+    return each.withColumn("fit", F.coalesce(*fits)).select("fingerprint", "paths", "fit.layout", "fit.wrapper", "n")
+
+
+def fingerprint(paths: Column) -> Column:
+    """Digest of sorted paths; null paths, of what is no record at all, have that of an empty text."""
+    return F.sha2(F.coalesce(F.array_join(paths, "\n"), F.lit("")), 256)
+
+
+def text_of(value: Column) -> Column:
+    """A content's text: a text as it is, the texts of a list of parts end to end, with [kind] for parts
+    that have none, null as an empty text, and anything else as its JSON."""
+    kind = F.schema_of_variant(value)
+    get = lambda v, path: F.try_variant_get(v, F.lit(path), "string")
+    part = lambda v: F.when(F.schema_of_variant(v) == "STRING", get(v, "$")).otherwise(F.coalesce(get(v, "$.text"), F.concat(F.lit("["), get(v, "$.type"), F.lit("]")), F.to_json(v)))
+    parts = F.array_join(F.transform(F.try_variant_get(value, F.lit("$"), "array<variant>"), part), "")
+    return F.when(value.isNull() | (kind == "VOID"), F.lit("")).when(kind == "STRING", get(value, "$")).when(F.startswith(kind, F.lit("ARRAY<")), parts).otherwise(F.to_json(value))
+
+
+def turns_of(x: Layout, value: Column) -> Column:
+    """Canonical turns of a variant that has the layout x."""
+    got = lambda v, name: F.try_variant_get(v, F.lit(f"$['{name}']"), "variant")
+    if x.items:
+        roles = F.create_map(*[F.lit(s) for pair in x.roles for s in pair]) if x.roles else None
+        named = lambda r: F.coalesce(F.try_element_at(roles, r), r) if roles is not None else r
+        one = lambda t: F.struct(named(text_of(got(t, x.role))).alias("role"), text_of(got(t, x.text)).alias("text"))
+        return F.transform(F.try_variant_get(value, F.lit(f"$['{x.items}']"), "array<variant>"), one)
+    there = lambda p: got(value, p).isNotNull() & (F.schema_of_variant(got(value, p)) != "VOID")
+    texts = lambda ps: F.concat_ws("\n\n", *[F.when(there(p), text_of(got(value, p))) for p in ps])
+    some = lambda ps: F.exists(F.array(*[there(p) for p in ps]), lambda ok: F.coalesce(ok, F.lit(False)))
+    turns = [F.when(some(ps), F.struct(F.lit(role).alias("role"), texts(ps).alias("text"))) for role, ps in x.parts]
+    return F.filter(F.array(*turns), lambda t: t.isNotNull())
+
+
+def canonical_turns(records: DataFrame, json: str | None = None, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(record, fingerprint, layout, wrapper, turns) for every row of records; record holds the row as it came.
+
+    json names a column of JSON texts; without it the columns of records are the fields. The fingerprint is
+    of all nested field paths that have a value, metadata's too; the catalogue of distinct fingerprints says
+    which layout each has, and where. A record that no layout fits, that can't be parsed or is null has a
+    null layout and null turns: rejects() counts those. A missing or null role or text is an empty one, an
+    empty list gives no turns, and content given as parts is put together. Rows are matched to the
+    catalogue by fingerprint; a fingerprint of many rows is dealt over many tasks. Repeated rows stay; no
+    rows give none; no column of records can clash."""
+    value = F.try_parse_json(F.col(json)) if json else F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
+    rows = records.select(F.struct("*").alias("record"), value.alias("value"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows.withColumn("schema", F.schema_of_variant("value")).withColumn("schema", F.coalesce("schema", F.lit(""))))
+    shapes = materialise(catalogue(rows, layouts, wrappers).drop("paths"))
+    rows = rows.withColumn("fingerprint", let(F.col("schema"), lambda s: fingerprint(field_paths(s))))
+    found = join_counted(rows, shapes, "fingerprint", "n", F.col("row"))
+    inner = F.col("value")
+    for w in wrappers:
+        inner = F.when(F.col("wrapper") == w, F.try_variant_get("value", F.lit(f"$['{w}']"), "variant")).otherwise(inner) if w else inner
+    found = found.withColumn("value", inner)
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, turns_of(x).cast(TURNS)).otherwise(turns)
-    return named.withColumn("turns", turns)
+        turns = F.when(F.col("layout") == x.name, turns_of(x, F.col("value")).cast(TURNS)).otherwise(turns)
+    return found.select("record", "fingerprint", "layout", "wrapper", turns.alias("turns"))
+
+
+def rejects(records: DataFrame, json: str | None = None, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(fingerprint, paths, n): the shapes of record that no layout fits and how many records have each."""
+    value = F.try_parse_json(F.col(json)) if json else F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
+    found = catalogue(records.select(F.coalesce(F.schema_of_variant(value), F.lit("")).alias("schema")), layouts, wrappers)
+    return found.where(F.col("layout").isNull()).select("fingerprint", "paths", "n")
 
 
 def escape(text: Column, pairs=ESCAPES) -> Column:
@@ -198,13 +229,16 @@ def conversations_as_records(rows: DataFrame, conv_id: str = "conv_id", turn: st
     """One record a conversation, (conv_id, turns), from rows by turn.
 
     Rows are ordered by turn, null first, then role and text; repeated rows stay. A null role or
-    text is an empty one; rows without an id are one conversation."""
+    text is an empty one. Which conversation a row without an id belongs to isn't known: each is one of
+    its own; rows that are equal in all four columns share one."""
     each = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    grouped = rows.select(F.col(conv_id).alias("conv_id"), each.alias("t")).groupBy("conv_id").agg(F.collect_list("t").alias("ts"))
+    alone = F.when(F.col(conv_id).isNull(), F.concat_ws(":", F.col(turn).cast("string"), row_key(role, text)))
+    grouped = rows.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), each.alias("t")).groupBy("conv_id", "alone").agg(F.collect_list("t").alias("ts"))
     return grouped.select("conv_id", F.transform(F.array_sort("ts"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def format_records(records: DataFrame, json: str | None = None, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """records with fingerprint, layout, formatted text and loss mask in place of their turns."""
-    found = canonical_turns(records, json, layouts).withColumn("_f", formatted(F.col("turns")))
-    return found.select("*", F.col("_f.text").alias("formatted"), F.col("_f.mask").alias("loss_mask")).drop("_f", "turns")
+def format_records(records: DataFrame, json: str | None = None, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(record, fingerprint, layout, wrapper, formatted, loss_mask) for every row of records, as canonical_turns()
+    finds them; a record without a layout has null in both."""
+    found = canonical_turns(records, json, layouts, wrappers).withColumn("f", formatted(F.col("turns")))
+    return found.select("record", "fingerprint", "layout", "wrapper", F.col("f.text").alias("formatted"), F.col("f.mask").alias("loss_mask"))

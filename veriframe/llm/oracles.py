@@ -47,7 +47,7 @@ escaped as (select *, length(replace(replace(replace(text, '\', '\b'), '</turn>'
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(4 + n_role + 1 + n_text + 8)::bigint as formatted_chars, 'turn_rows' as layout
+  sum(4 + n_role + 1 + n_text + 8)::bigint as formatted_chars, case ((conv_id % 4) + 4) % 4 when 1 then 'turn_rows' when 2 then (case when bool_or(role in ('human', 'gpt')) then 'messages' else 'from_value' end) else 'messages' end as layout
 from escaped group by conv_id"""
 
 NUMBER = "cast('0x' || substr({}, 1, 8) as bigint)"

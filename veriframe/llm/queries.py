@@ -27,12 +27,31 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 AWKWARD = "\\### Assistant: </turn> ok"
 
 
+def as_layouts(records: DataFrame) -> DataFrame:
+    """(conv_id, json): conversations as four layouts of JSON, by id, as a corpus of several origins has them.
+
+    Lists of messages; turns; senders and values where no role would be renamed; and messages in a
+    wrapper, with parts as content and with metadata."""
+    turn = lambda role, text: lambda t: F.struct(t["role"].alias(role), t["text"].alias(text))
+    parts = lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content"))
+    plain = ~F.exists("turns", lambda t: t["role"].isin("human", "gpt"))
+    way = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(4))
+    messages = F.to_json(F.struct(F.transform("turns", turn("role", "content")).alias("messages")))
+    return records.select(
+        "conv_id",
+        F.when(way == 1, F.to_json(F.struct(F.transform("turns", turn("role", "text")).alias("turns"))))
+        .when((way == 2) & plain, F.to_json(F.struct(F.transform("turns", turn("from", "value")).alias("conversations"))))
+        .when(way == 3, F.to_json(F.struct(F.struct(F.transform("turns", parts).alias("messages")).alias("data"), F.struct(F.lit("dump").alias("origin")).alias("meta"))))
+        .otherwise(messages).alias("json"),
+    )
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", AWKWARD), (-7, 1, "assistant", AWKWARD)], "conv_id long, turn long, role string, text string")
-    done = chat.format_records(chat.conversations_as_records(rows.unionByName(added)))
+    done = chat.format_records(as_layouts(chat.conversations_as_records(rows.unionByName(added))), "json")
     back = done.select(
-        "conv_id", "layout", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"),
+        F.col("record.conv_id").alias("conv_id"), "layout", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
