@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -5,9 +6,9 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from veriframe.llm import quality, secrets
+from veriframe.llm import secrets
 
-from .test_quality import brute
+from .test_quality import slow_kept
 from .test_secrets import base
 from .test_simhash import slow_components, slow_fingerprint
 from .texts import ROWS
@@ -38,14 +39,7 @@ def test_columns_and_order_of_stages(stages, spark, sf):
 
 
 def test_quality_stage(stages):
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    want = []
-    for r in stages[0]:
-        fits = quality.compression((r["text"] or "").encode(), pack, quality.Limits())[-1]
-        if fits and not brute(r["text"])[-1]:
-            want.append(r)
+    want = [r for r, kept in zip(stages[0], slow_kept([r["text"] for r in stages[0]]), strict=True) if kept]
     assert Counter(want) == Counter(stages[1]) and len(want) < len(stages[0])
 
 
@@ -99,9 +93,23 @@ def test_run_gives_the_last_stage(spark, sf, stages):
 def test_awkward_and_empty_tables(spark, tmp_path):
     from .texts import frame
 
-    for rows in (ROWS, []):
-        docs = frame(spark, rows)
+    rng = random.Random(1)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(3000))
+    rows = [*ROWS, (20, noise, "en", "a"), (20, noise, "en", "a"), (21, noise.upper(), "en", "b"), (None, f"{noise} secret=abcdef123", None, None)]
+    seen = {}
+    for name, some in (("rows", rows), ("empty", [])):
+        docs, seen[name] = frame(spark, some), []
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            path = str(tmp_path / f"{len(rows)}-{k}")
+            path = str(tmp_path / f"{name}-{k}")
             stage(spark, docs, "").write.parquet(path)
             docs = spark.read.parquet(path)
+            seen[name].append(docs.collect())
+    assert [len(x) for x in seen["empty"]] == [0] * 5
+    quality_kept, dedup, secret, mix, coded = seen["rows"]
+    key = lambda xs: sorted(((r["doc_id"] or -1, r["text"]) for r in xs))
+    assert key(quality_kept) == sorted((r[0] or -1, r[1]) for r, kept in zip(rows, slow_kept([r[1] for r in rows]), strict=True) if kept)
+    assert {r["doc_id"] for r in quality_kept} >= {20, 21, None}
+    assert {r["doc_id"] for r in dedup} >= {20} and 21 not in {r["doc_id"] for r in dedup} and len(dedup) == len({r["doc_id"] for r in dedup})
+    assert len(secret) == len(dedup) and not any("secret=abc" in r["text"] for r in secret)
+    assert {r["doc_id"] for r in mix} <= {r["doc_id"] for r in secret} and len(coded) == len(mix) > 0
+    assert all(r["parity"] and r["round_trip"] for r in coded)

@@ -1,8 +1,11 @@
+import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import zstandard
 
 from veriframe.llm import quality
 from veriframe.llm.queries import op3_quality
@@ -27,6 +30,34 @@ def brute(text):
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def slow_kept(texts, limits=quality.Limits()):
+    """By the stated rule itself, over a list of texts."""
+    pack = zstandard.ZstdCompressor(level=limits.level).compress
+    cut = []
+    for t in texts:
+        data = (t or "").encode()
+        n = len(data) // limits.chunk
+        parts = [data] if n < 2 else [data[i * limits.chunk : (i + 1) * limits.chunk if i < n - 1 else len(data)] for i in range(n)]
+        cut.append([(len(p), len(pack(p))) for p in [data, *parts]])
+    place = lambda n: math.floor(math.log2(max(n, 1)) * limits.steps)
+    groups, bands = defaultdict(list), {}
+    for n, packed in {x for t, c in zip(texts, cut, strict=True) if not brute(t)[-1] for x in c}:
+        groups[place(n)].append(math.floor(n / packed * quality.BINS))
+    for k, values in groups.items():
+        if len(values) >= limits.support:
+            a, m, b = ((x + 0.5) / quality.BINS for x in np.percentile(values, [25, 50, 75]))
+            wide = max(limits.spread * (b - a) / 1.349, limits.slack * m)
+            bands[k] = m - wide, m + wide
+
+    def fits(n, packed):
+        _, low, high = next(x for x in limits.outer if n <= x[0])
+        a, b = bands.get(place(n), (low, high))
+        return max(a, low) <= n / packed <= min(b, high)
+
+    odd = lambda c: sum(not fits(*x) for x in c[1:])
+    return [not brute(t)[-1] and fits(*c[0]) and odd(c) <= limits.odd_chunks * (len(c) - 1) for t, c in zip(texts, cut, strict=True)]
+
+
 def test_base_equals_brute_force_on_awkward_rows(spark):
     rng = random.Random(1)
     extra = [(100 + k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) + "\n\x1c  x\n", "en", "a") for k in range(60)]
@@ -61,3 +92,26 @@ def test_query_over_the_whole_table(spark, sf):
         assert tuple(r[n] for n in NAMES) == brute(docs[r["doc_id"]])
         assert not (r["kept"] and r["base_failed"])
     assert pytest.approx(1, abs=0.4) == sum(r["kept"] for r in rows) / len(rows)
+
+
+def test_kept_equals_brute_force_over_a_table_and_the_bands_decide(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = dict(zip([d for d, _ in docs], slow_kept([t for _, t in docs]), strict=True))
+    rows = {r["doc_id"]: r for r in op3_quality(spark, sf).collect()}
+    assert {d: r["kept"] for d, r in rows.items()} == want
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    reached = {d: r["kept"] for d, r in rows.items() if not r["base_failed"] and good.get(d) is not None}
+    assert sum(reached[d] for d in reached if good[d] == 1) > 0.99 * sum(good[d] == 1 for d in reached)
+    assert sum(not reached[d] for d in reached if good[d] == 0) > 0.5 * sum(good[d] == 0 for d in reached)
+
+
+def test_copies_have_one_voice_and_few_texts_no_band(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = [" ".join(rng.choice(words) for _ in range(rng.randint(190, 200))) for _ in range(120)]
+    copied = " ".join(rng.choice(words[:25]) for _ in range(400))[: len(prose[0])]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate([*prose, *[copied] * 2000])])
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs).select("doc.doc_id", "kept").collect()}
+    assert sum(kept[i] for i in range(120)) >= 118 and not any(kept[i] for i in range(120, 2120))
+    assert quality.fit(quality.measure(frame(spark))) == {} and quality.fit(quality.measure(frame(spark, []))) == {}

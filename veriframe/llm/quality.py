@@ -1,49 +1,53 @@
 """Quality rules on words, lines and repeats, and compression bands.
 
-Each text is taken whole, in Arrow batches whose bytes Spark bounds."""
+Each text is taken whole, in Arrow batches whose bytes Spark bounds. Texts are measured first; the limits
+of a length class are then fitted to all that was measured, and what was measured is judged by them."""
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-@dataclass(frozen=True)
-class Band:
-    """Limits for texts of at most this many bytes: bytes before / bytes after compression."""
-
-    up_to: float
-    low: float
-    high: float
-
-
 @dataclass(frozen=True)
 class Limits:
-    """Compression bands. A whole text outside its band goes, and so does one of which more than
-    odd_chunks of the fixed chunks are outside chunk_band. Short texts hold too little for a ratio
-    to say much: they have no lower limit, and a tight upper one. Long texts of natural words reach
-    higher ratios, so the limits widen with length. A last chunk under half a chunk isn't judged."""
+    """Compression bands: bytes before / bytes after compression, by length.
+
+    Lengths fall into classes, steps of them to each doubling. In a class the band is its median ratio
+    and spread times its robust deviation (interquartile range / 1.349) to both sides, at least slack of
+    the median; never beyond least and most, which alone hold in a class of fewer than support
+    different texts. A whole text outside the band of its length goes, and so does one of which more
+    than odd_chunks of its chunks are outside the band of theirs. Chunks have chunk bytes; the rest of a
+    text belongs to its last chunk, and a text under two chunks is one."""
 
     level: int = 3
-    bands: tuple[Band, ...] = (Band(256, 0.0, 3.0), Band(2048, 1.15, 4.0), Band(16384, 1.4, 5.0), Band(float("inf"), 1.5, 6.0))
     chunk: int = 4096
-    chunk_band: tuple[float, float] = (1.4, 6.0)
-    odd_chunks: float = 0.5
+    steps: int = 4
+    spread: float = 4.5
+    slack: float = 0.06
+    outer: tuple[tuple[float, float, float], ...] = ((256, 0.0, 3.0), (2048, 1.15, 4.0), (16384, 1.4, 5.0), (float("inf"), 1.5, 6.0))
+    support: int = 50
+    odd_chunks: float = 0.25
 
 
+#: Ratios are counted in steps of one in so many when bands are fitted.
+BINS = 1000
 COLUMNS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "ratio double, low_chunks long, high_chunks long, n_chunks long"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "n_bytes long, packed long, chunks array<struct<n_bytes:long,packed:long>>"
 )
 
 
@@ -76,42 +80,32 @@ def duplicate_lines(text: str) -> int:
     return sum(n - 1 for n in lines.values())
 
 
-def compression(data: bytes, pack, limits: Limits) -> tuple[float, int, int, int, bool]:
-    """Ratio of the whole, chunks below, above and judged, and whether the text stays."""
-    if not data:
-        return 0.0, 0, 0, 0, False
-    ratio = len(data) / len(pack(data))
-    band = next(b for b in limits.bands if len(data) <= b.up_to)
-    whole = band.low <= ratio <= band.high
-    low = high = n = 0
-    if len(data) > limits.chunk:
-        for i in range(0, len(data), limits.chunk):
-            part = data[i : i + limits.chunk]
-            if 2 * len(part) < limits.chunk:
-                continue
-            r = len(part) / len(pack(part))
-            n, low, high = n + 1, low + (r < limits.chunk_band[0]), high + (r > limits.chunk_band[1])
-    return ratio, low, high, n, whole and low + high <= limits.odd_chunks * n
-
-
-def judge(text: str | None, pack, limits: Limits) -> tuple:
+def chunk_bounds(n: int, size: int) -> list[tuple[int, int]]:
+    """Begin and end of a text's chunks; the last takes what is left behind it."""
+    k = max(1, n // size)
+    return [(i * size, (i + 1) * size if i < k - 1 else n) for i in range(k)]
+
+
+def measured(text: str | None, pack, limits: Limits) -> tuple:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # of bytes: exactly the six ASCII spaces
     repeat = repeated_words(words)
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
-    ratio, low, high, n, fits = compression(data, pack, limits)
+    whole = len(pack(data))
+    bounds = chunk_bounds(len(data), limits.chunk)
+    chunks = [{"n_bytes": len(data), "packed": whole}] if len(bounds) == 1 else [{"n_bytes": e - b, "packed": len(pack(data[b:e]))} for b, e in bounds]
     return (
         len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat,
-        failed, not failed and fits, ratio, low, high, n,
+        failed, len(data), whole, chunks,
     )
 
 
-def assess(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(doc, n_words ... n_chunks) for every row; doc holds the row as it came, so columns can't clash.
+def measure(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """(doc, n_words ... chunks) for every row; doc holds the row as it came, so columns can't clash.
 
-    A null text counts as an empty one: no words, failed. Repeated rows each get their own row; an
-    empty table gives none."""
+    A null text counts as an empty one: no words, failed, one empty chunk. Repeated rows each get their
+    own row; an empty table gives none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -119,11 +113,67 @@ def assess(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> Da
         pack = zstandard.ZstdCompressor(level=limits.level).compress
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for texts in batches:
-            yield pd.DataFrame([judge(t, pack, limits) for t in texts], columns=names)
+            yield pd.DataFrame([measured(t, pack, limits) for t in texts], columns=names)
 
     return docs.select(F.struct("*").alias("doc"), F.pandas_udf(run, COLUMNS, F.PandasUDFType.SCALAR_ITER)(F.col(text)).alias("q")).select("doc", "q.*")
 
 
+def length_class(n_bytes: Column, steps: int) -> Column:
+    return F.floor(F.log2(F.greatest(n_bytes, F.lit(1)).cast("double")) * steps).cast("int")
+
+
+def ratio(n_bytes: Column, packed: Column) -> Column:
+    return n_bytes / F.greatest(packed, F.lit(1))
+
+
+def fit(found: DataFrame, limits: Limits = Limits()) -> dict[int, tuple[float, float]]:
+    """Length class to (low, high), from all texts of measure() that the base rules keep, whole and chunks.
+
+    Texts of equal length and packed length count once, so a text copied a million times has one
+    voice. Ratios are counted by class and step of 1/BINS, which is all that is sorted; classes are few
+    (steps to a doubling), so one row for each comes to the driver. No rows give no classes."""
+    each = found.where(~F.col("base_failed")).select(F.explode(F.array_distinct(F.concat("chunks", F.array(F.struct("n_bytes", "packed"))))).alias("c")).select("c.n_bytes", "c.packed").distinct()
+    bins = each.groupBy(length_class(F.col("n_bytes"), limits.steps).alias("class"), F.floor(ratio(F.col("n_bytes"), F.col("packed")) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    rows = bins.groupBy("class").agg(F.sum("n").alias("n"), F.percentile("bin", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")).collect()
+    out = {}
+    for r in rows:
+        if r["n"] >= limits.support:
+            low, middle, high = ((x + 0.5) / BINS for x in r["q"])
+            wide = max(limits.spread * (high - low) / 1.349, limits.slack * middle)
+            out[r["class"]] = middle - wide, middle + wide
+    return out
+
+
+def judge(found: DataFrame, bands: dict[int, tuple[float, float]], limits: Limits = Limits()) -> DataFrame:
+    """What measure() gives with ratio, n_chunks, low_chunks, high_chunks and kept."""
+    pair = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    of_class = F.create_map(*[x for k, band in sorted(bands.items()) for x in (F.lit(k), pair(*band))]) if bands else None
+
+    def outer(n: Column) -> Column:
+        return F.coalesce(*[F.when(n <= up_to, pair(low, high)) for up_to, low, high in limits.outer])
+
+    def out_of(n: Column, packed: Column, high: bool) -> Column:
+        side, beyond = ("high", operator.gt) if high else ("low", operator.lt)
+        r = ratio(n, packed)
+        fitted = F.try_element_at(of_class, length_class(n, limits.steps))[side] if bands else F.lit(None)
+        return beyond(r, outer(n)[side]) | F.coalesce(beyond(r, fitted), F.lit(False))
+
+    judged = found.withColumn("ratio", ratio(F.col("n_bytes"), F.col("packed"))).withColumn("n_chunks", F.size("chunks").cast("bigint"))
+    odd = lambda high: F.size(F.filter("chunks", lambda c: out_of(c["n_bytes"], c["packed"], high))).cast("bigint")
+    judged = judged.withColumn("low_chunks", odd(False)).withColumn("high_chunks", odd(True))
+    whole = ~out_of(F.col("n_bytes"), F.col("packed"), False) & ~out_of(F.col("n_bytes"), F.col("packed"), True)
+    fits = whole & (F.col("low_chunks") + F.col("high_chunks") <= F.lit(limits.odd_chunks) * F.col("n_chunks"))
+    return judged.withColumn("kept", ~F.col("base_failed") & fits)
+
+
+def assess(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """(doc, n_words ... kept) for every row: measured once, stored, and judged by bands fitted to all rows.
+
+    Nulls, empty texts, repeated rows and empty tables as in measure(); a text without words is not kept."""
+    found = materialise(measure(docs, text, limits))
+    return judge(found, fit(found, limits), limits)
+
+
 def keep(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs that pass, with their own columns."""
+    """The rows of docs that pass, with their own columns; a null or empty text never does."""
     return assess(docs, text, limits).where("kept").select("doc.*")

@@ -62,9 +62,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = materialise(quality.measure(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("doc", F.col("doc").dropFields("text")))
+    judged = quality.judge(found, quality.fit(found))
     return judged.select(
-        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"), "low_chunks", "high_chunks"
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"), "n_chunks", "low_chunks", "high_chunks"
     )
 
 
