@@ -58,3 +58,16 @@ def test_query_on_held_out_languages(spark):
     assert len(rows) == 1000
     held = [(r["lang_pred"], truth[r["doc_id"]]) for r in rows if r["held_out"] and truth[r["doc_id"]]]
     assert np.mean([a == b for a, b in held]) == pytest.approx(1, abs=0.05)
+
+
+def test_landmarks_stay_under_their_bytes(monkeypatch):
+    texts = ["abcd", "abce", "abxy", "zzz"]
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 * len(texts) * 6)
+    vocabulary, matrix = language.place_landmarks(texts)
+    assert len(vocabulary) == 6 and matrix.nbytes == language.MODEL_BYTES and number("ab") in vocabulary and number("ce") not in vocabulary
+
+
+def test_long_texts_take_no_part_in_a_fit(spark):
+    docs = [(i, f"{'uno dos tres' if i % 2 else 'one two three'} {i}", "es" if i % 2 else "en", "a") for i in range(120)]
+    fits = [language.train(frame(spark, [*docs, *more]), longest=100) for more in ([], [(900 + i, "один два " * 50, "ru", "a") for i in range(20)])]
+    assert fits[0].languages == fits[1].languages == ["en", "es"] and np.array_equal(fits[0].weights, fits[1].weights)

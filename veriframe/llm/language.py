@@ -18,6 +18,9 @@ from .common import hash_fraction, held_out, labelled_sample, materialise
 
 #: Rows of each language that a fit reads, about; landmarks of each language; ridge.
 PER_LABEL, LANDMARKS, RIDGE = 500, 24, 1e-3
+#: Landmarks of all languages together at most; longer texts take no part in a fit; bytes of the matrix of
+#: landmarks at most, which is what goes to all tasks.
+ALL_LANDMARKS, LONGEST, MODEL_BYTES = 1536, 50_000, 128 << 20
 #: Code points whose n-grams are listed at a time, and texts in a matrix product.
 BLOCK, BATCH = 1 << 20, 64
 UNKNOWN = "und"
@@ -74,29 +77,36 @@ class Model:
 
 
 def place_landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of the landmarks and their matrix. Where it would be over MODEL_BYTES, the n-grams that most
+    landmarks have stay, of equals the smaller numbers."""
     lists = [grams(t) for t in texts]
-    vocabulary = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.uint64)
+    vocabulary, seen = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.empty(0, np.uint64), np.empty(0, int))
+    most = max(1, MODEL_BYTES // (4 * max(1, len(lists))))
+    if len(vocabulary) > most:
+        vocabulary = np.sort(vocabulary[np.argsort(-seen, kind="stable")[:most]])
     matrix = np.zeros((len(vocabulary), len(lists)), np.float32)
     for j, g in enumerate(lists):
-        matrix[np.searchsorted(vocabulary, g), j] = 1 / len(g) ** 0.5
+        matrix[np.searchsorted(vocabulary, known := g[np.isin(g, vocabulary, assume_unique=True)]), j] = 1 / len(g) ** 0.5 if len(known) else 0
     return vocabulary, matrix
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS, seed: int = 5) -> Model:
-    """Fit on about per_label texts of each language, landmarks of them whole to the driver.
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS, longest: int = LONGEST, seed: int = 5) -> Model:
+    """Fit on about per_label texts of each language of at most longest characters, landmarks of them (fewer
+    where ALL_LANDMARKS would be passed) to the driver.
 
     Rows with a null text or lang, without a letter, or held out never take part. For the others of
     the sample only their kernel rows come to the driver: per_label numbers of languages times
     landmarks. Without any row to learn from, every text is UNKNOWN."""
-    usable = docs.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
+    usable = docs.where((F.length(text) <= longest) & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     usable = usable.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sample = labelled_sample(usable, "lang", "key", per_label, seed)
     order = hash_fraction(F.col("key"), seed)
-    share = landmarks / per_label
     sample = marked = materialise(sample.withColumn("place", order * F.col("weight")))
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, sample.select("lang").distinct().count())))
+    share = landmarks / per_label
     first = marked.where(F.col("place") < share).select("lang", "place", "key", "text").collect()
     if not first:  # fewer rows than landmarks
-        first = marked.select("lang", "place", "key", "text").limit(landmarks).collect()
+        first = marked.select("lang", "place", "key", "text").orderBy("place", "key", "text").limit(landmarks).collect()
     first = sorted(first, key=lambda r: (r["lang"], r["place"], r["key"], r["text"]))
     vocabulary, matrix = place_landmarks([r["text"] for r in first])
     half = Model([], vocabulary, matrix, np.empty((matrix.shape[1], 0)))
@@ -121,8 +131,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """(doc, lang_pred, score) for every row; doc holds the row as it came. UNKNOWN and 0 for a text
-    that is null or has no letter. Repeated rows stay; no rows give none. The model's size is bounded by its
-    landmarks' n-grams and is sent to each task once."""
+    that is null or has no letter. Repeated rows stay; no rows give none. The model has at most
+    MODEL_BYTES and is sent to each task once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -21,6 +21,10 @@ STEMS = (4, 5, 6)
 #: Rows of each label that a fit reads, about; features kept at most; documents of the sample that must
 #: have one; standard errors that its shares among toxic and clean documents must be apart.
 PER_LABEL, FEATURES, SUPPORT, APART = 3000, 4096, 3, 4.0
+#: Longer texts take no part in a fit, so what a fit gathers has a bound; they are scored like all others.
+LONGEST = 50_000
+#: Documents whose features are listed at a time.
+LISTED = 64
 #: Sentences that score this much are named as offending.
 OFFENDING = 0.3
 #: Words whose weights a task remembers.
@@ -95,8 +99,9 @@ def noisy_or_fit(docs: list[tuple[float, float, list[tuple[tuple[int, ...], int]
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, seed: int = 11) -> Model:
-    """Fit on about per_label documents of each label; ids that held_out() keeps back never take part.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, longest: int = LONGEST, seed: int = 11) -> Model:
+    """Fit on about per_label documents of each label of at most longest characters; ids that held_out()
+    keeps back never take part.
 
     A document labelled more than once is toxic if one label says so; null labels and ids don't
     count. Sampled labels weigh as many rows as they stand for, so scores keep the true rate. The
@@ -106,13 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = labelled_sample(known, "y", "key", per_label, seed)
-    texts = materialise(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").select("y", "weight", "text"))
+    texts = materialise(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(sample), "key").select("y", "weight", "text"))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for y, weight, t in zip(b["y"], b["weight"], b["text"], strict=True):
-                found = sorted({f for w in set(TOKEN.findall((t or "").lower())) for f in features_of(w)})
-                yield pd.DataFrame({"y": y, "f": pd.Series(["", *found], dtype=object)})
+            for k in range(0, len(b), LISTED):
+                some = b.iloc[k : k + LISTED]
+                found = [["", *{f for w in set(TOKEN.findall((t or "").lower())) for f in features_of(w)}] for t in some["text"]]
+                yield pd.DataFrame({"y": np.repeat(some["y"].to_numpy(), [len(x) for x in found]), "f": pd.Series([f for x in found for f in x], dtype=object)})
 
     each = texts.mapInPandas(seen, "y int, f string").groupBy("f").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
     rows = {r["f"]: (r["toxic"], r["n"]) for r in each.where("f = ''").collect()}
