@@ -79,14 +79,18 @@ def fold_thresholds(df: DataFrame, folds: DataFrame, y: str, score: str, by: Seq
     return thresholds_of_counts(own, by, steps)
 
 
-def thresholds_of_counts(own: DataFrame, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:
-    """fold_thresholds from the counts by bin of each fold's own rows."""
+def train_counts(own: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, repeat, fold, bin, n0, n1) of each fold's training rows, from the counts of its own rows."""
     whole = own.groupBy(*by, "repeat", "bin").agg(F.sum("n0").alias("w0"), F.sum("n1").alias("w1"))
     folds_of = own.select(*by, "repeat", "fold").distinct()
     train = folds_of.join(whole, [*by, "repeat"]).join(own, [*by, "repeat", "fold", "bin"], "left")
+    return train.select(*by, "repeat", "fold", "bin", (F.col("w0") - F.coalesce("n0", F.lit(0))).alias("n0"), (F.col("w1") - F.coalesce("n1", F.lit(0))).alias("n1"))
+
+
+def thresholds_of_counts(own: DataFrame, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:
+    """fold_thresholds from the counts by bin of each fold's own rows."""
     keys = [*by, "repeat", "fold"]
-    counts = train.select(*keys, "bin", (F.col("w0") - F.coalesce("n0", F.lit(0))).alias("n0"), (F.col("w1") - F.coalesce("n1", F.lit(0))).alias("n1"))
-    return best(sweep(counts, keys, steps), keys)
+    return best(sweep(train_counts(own, by), keys, steps), keys)
 
 
 def cross_validate(df: DataFrame, folds: DataFrame, y: str, score: str, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:

@@ -13,10 +13,14 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set."""
+    """The folder that spark.checkpoint.dir names. Where none is set, one of our own if all runs in this
+    process; on a cluster that is an error, as executors would not see a folder of this machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriframe-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veriframe-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
