@@ -57,6 +57,17 @@ def test_layouts_are_chosen_by_fingerprint(spark):
     assert ["prompt"] in [r["paths"] for r in refused]
 
 
+def test_many_shapes_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(i, json.dumps({"prompt": "q", "completion": "a", f"meta{i % 7 if i % 2 else 0}": 1})) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, j string")
+    every = []
+    for listed in (10_000, 2):
+        monkeypatch.setattr(chat, "LISTED", listed)
+        monkeypatch.setattr(chat, "HOT_SHARE", 20)
+        every.append(sorted((r["record"]["i"], r["fingerprint"], r["layout"]) for r in chat.canonical_turns(df, "j").collect()))
+    assert every[0] == every[1] and len(every[0]) == 60 and {x[2] for x in every[0]} == {"prompt_completion"}
+
+
 def slow_paths(value, at=""):
     if isinstance(value, dict):
         own = {at} if at else set()

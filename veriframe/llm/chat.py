@@ -53,6 +53,10 @@ LAYOUTS = (
 #: Objects that a layout's fields may stand in, besides the record itself.
 WRAPPERS = ("", "data", "record", "example", "sample", "conversation", "row")
 
+#: Shapes that are sent to all tasks; more are joined by shuffle, where a shape with over one in HOT_SHARE
+#: records is dealt over parts.
+LISTED, HOT_SHARE = 10_000, 1000
+
 #: Tokens of a schema as schema_of_variant writes it: a field's name, the start and end of an object or a
 #: list, and a plain value's kind.
 TOKEN = r"`(?:[^`]|``)*`:|[^\s:<>,`]+:|OBJECT<|ARRAY<|>|[A-Z]+"
@@ -158,7 +162,11 @@ def canonical_turns(records: DataFrame, json: str | None = None, layouts: Sequen
     rows = materialise(rows.withColumn("schema", F.schema_of_variant("value")).withColumn("schema", F.coalesce("schema", F.lit(""))))
     shapes = materialise(catalogue(rows, layouts, wrappers).drop("paths"))
     rows = rows.withColumn("fingerprint", let(F.col("schema"), lambda s: fingerprint(field_paths(s))))
-    found = join_counted(rows, shapes, "fingerprint", "n", F.col("row"))
+    n_shapes, n = shapes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n_shapes <= LISTED:
+        found = rows.join(F.broadcast(shapes.drop("n")), "fingerprint")
+    else:
+        found = join_counted(rows, shapes, "fingerprint", "n", F.col("row"), max(1, n // HOT_SHARE))
     inner = F.col("value")
     for w in wrappers:
         inner = F.when(F.col("wrapper") == w, F.try_variant_get("value", F.lit(f"$['{w}']"), "variant")).otherwise(inner) if w else inner
