@@ -86,7 +86,7 @@ def place_landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         vocabulary = np.sort(vocabulary[np.argsort(-seen, kind="stable")[:most]])
     matrix = np.zeros((len(vocabulary), len(lists)), np.float32)
     for j, g in enumerate(lists):
-        matrix[np.searchsorted(vocabulary, known := g[np.isin(g, vocabulary, assume_unique=True)]), j] = 1 / len(g) ** 0.5 if len(known) else 0
+        matrix[np.searchsorted(vocabulary, g[np.isin(g, vocabulary, assume_unique=True)]), j] = 1 / len(g) ** 0.5
     return vocabulary, matrix
 
 
