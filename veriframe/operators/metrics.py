@@ -1,14 +1,18 @@
 """Classification metrics as aggregations: one pass, nothing but counts leaves a task.
 
-Curves work on counts by distinct score, so the windows run over distinct scores and not rows."""
+Curves work on counts by distinct score; their running sums are dealt over ranges of scores, so no task
+holds all distinct scores."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -80,26 +84,82 @@ def marker_f1(pairs: DataFrame, gold: str = "marker", pred: str = "marker_pred")
     return sums.withColumn("f1", ratio(2 * F.col("hits"), F.col("support") + F.col("predicted")))
 
 
+def marker_quality(pairs: DataFrame, known: Sequence[str], gold: str = "marker", pred: str = "marker_pred", silent: Sequence[str] = ("none", "unknown")) -> DataFrame:
+    """One row: n, n_unknown predictions outside known, macro-F1 over markers of either side, of gold, and of
+    gold less the silent ones; of rows whose gold isn't silent their number and how many are hit."""
+    each = marker_f1(pairs, gold, pred)
+    loud, there = ~F.col("marker").isin(*silent), F.col("support") > 0
+    return each.agg(
+        F.coalesce(F.sum("support"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~F.col("marker").isin(*known), F.col("predicted"))), F.lit(0)).alias("n_unknown"),
+        F.avg("f1").alias("f1_either"), F.avg(F.when(there, F.col("f1"))).alias("f1_gold"), F.avg(F.when(there & loud, F.col("f1"))).alias("f1_explicit"),
+        F.coalesce(F.sum(F.when(loud, F.col("support"))), F.lit(0)).alias("n_explicit"), F.coalesce(F.sum(F.when(loud, F.col("hits"))), F.lit(0)).alias("explicit_hits"),
+    )
+
+
 def score_counts(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, s, n, pos): rows and positives of each distinct score."""
     return df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
 
 
+#: Ranges that running sums are dealt over.
+RANGES = 64
+
+
+def below(counts: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """counts with below_<c> for each c of sums: its sum over rows of a lower order value and equal by.
+
+    The order is a number, distinct within by; null is lowest. Ranges are cut at its rough quantiles: a
+    running sum is one over the ranges' totals, RANGES rows for each by, and one inside each range."""
+    counts = materialise(counts)
+    cuts = sorted(set(counts.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    ranged = counts.withColumn("_range", F.coalesce(place, F.lit(0)))
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_range"]
+    starts = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_start_{c}") for c in sums])
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_inside_{c}") for c in sums])
+    both = runs.join(starts, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]))
+    return both.select(*counts.columns, *[(F.col(f"_start_{c}") + F.col(f"_inside_{c}")).alias(f"below_{c}") for c in sums])
+
+
 def roc_auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, n_pos, auc): the chance that a positive scores over a negative, ties counting half; null with one class."""
-    counts = score_counts(df, score, y, by)
-    before = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    lower = counts.withColumn("neg", F.col("n") - F.col("pos")).withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    agg = lower.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"))
+    lower = below(score_counts(df, score, y, by).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"], by)
+    agg = lower.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)).alias("wins"))
     return agg.select(*by, "n", "n_pos", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / F.greatest(F.col("n_pos") * F.col("n_neg"), F.lit(1))).alias("auc"))
 
 
+#: Half the width of a 95 % interval, in standard deviations.
+Z95 = 1.959963984540054
+
+
+def auc_interval(df: DataFrame, score: str, y: str, by: Sequence[str]) -> DataFrame:
+    """(by, n, n_pos, auc, lo, hi): ROC-AUC with DeLong's 95 % interval, cut to [0, 1], from counts by score.
+
+    With one class the area is 1/2 and the interval null; so is the interval where a class has one row."""
+    counts = materialise(below(score_counts(df, score, y, by).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg", "pos"], by))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    joined = counts.select(*by, "pos", "neg", "below_pos", "below_neg").join(whole, list(by))
+    beaten = ratio(F.col("below_neg") + F.col("neg") / 2, F.col("n_neg"))
+    beaten_by = 1 - ratio(F.col("below_pos") + F.col("pos") / 2, F.col("n_pos"))
+    mean = lambda w, x, n: ratio(F.sum(F.col(w) * x), F.col(n))
+    means = joined.withColumns({"x": beaten, "z": beaten_by}).groupBy(*by, "n", "n_pos", "n_neg").agg(mean("pos", F.col("x"), "n_pos").alias("auc"), F.sum(F.col("neg") * F.col("z") / F.greatest("n_neg", F.lit(1))).alias("mean_z"))
+    off = joined.withColumns({"x": beaten, "z": beaten_by}).join(means.select(*by, "auc", "mean_z"), list(by))
+    spread = off.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("x") - F.col("auc")) ** 2).alias("sx"), F.sum(F.col("neg") * (F.col("z") - F.col("mean_z")) ** 2).alias("sz"))
+    out = means.join(spread, list(by))
+    enough = (F.col("n_pos") > 1) & (F.col("n_neg") > 1)
+    sd = F.sqrt(ratio(F.col("sx"), F.col("n_pos") * (F.col("n_pos") - 1)) + ratio(F.col("sz"), F.col("n_neg") * (F.col("n_neg") - 1)))
+    auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("auc")).otherwise(F.lit(0.5))
+    return out.select(*by, "n", "n_pos", auc.alias("auc"), F.when(enough, F.greatest(F.col("auc") - Z95 * sd, F.lit(0.0))).alias("lo"), F.when(enough, F.least(F.col("auc") + Z95 * sd, F.lit(1.0))).alias("hi"))
+
+
 def precision_recall(df: DataFrame, score: str, y: str) -> DataFrame:
-    """(s, flagged, hits, precision, recall) at each distinct score, from the highest down."""
-    counts = score_counts(df, score, y)
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    runs = counts.select("s", F.sum("n").over(down).alias("flagged"), F.sum("pos").over(down).alias("hits"), F.sum("pos").over(every).alias("all"), "pos")
+    """(s, flagged, hits, precision, recall, step) at each distinct score, rows of that score or more flagged."""
+    counts = materialise(below(score_counts(df, score, y), "s", ["n", "pos"]))
+    whole = F.broadcast(counts.agg(F.sum("n").alias("rows"), F.sum("pos").alias("all")))
+    runs = counts.crossJoin(whole).select("s", (F.col("rows") - F.col("below_n")).alias("flagged"), (F.col("all") - F.col("below_pos")).alias("hits"), "all", "pos")  # whole is one row
     return runs.select("s", "flagged", "hits", (F.col("hits") / F.col("flagged")).alias("precision"), ratio(F.col("hits"), F.col("all")).alias("recall"), ratio(F.col("pos"), F.col("all")).alias("step"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,6 +51,12 @@ def last_epochs(log: DataFrame) -> DataFrame:
     return log.groupBy("repeat", "fold").agg(F.max_by(F.struct("epoch", "is_degenerate"), "epoch").alias("l")).select("repeat", "fold", "l.*")
 
 
+def kept_epochs(log: DataFrame, keep: int) -> DataFrame:
+    """(repeat, fold, epoch) of the last keep different epochs of each fold: the checkpoints to hold on to."""
+    place = F.row_number().over(Window.partitionBy("repeat", "fold").orderBy(F.col("epoch").desc()))
+    return log.select("repeat", "fold", "epoch").distinct().withColumn("place", place).where(F.col("place") <= keep).drop("place")
+
+
 def collapsed(log: DataFrame) -> DataFrame:
     """One row: whether every fold was degenerate at its last epoch."""
     return last_epochs(log).agg(F.coalesce(F.bool_and("is_degenerate"), F.lit(False)).alias("collapsed"), F.count(F.lit(1)).alias("n_folds"))
