@@ -138,7 +138,8 @@ Z95 = 1.959963984540054
 def auc_interval(df: DataFrame, score: str, y: str, by: Sequence[str]) -> DataFrame:
     """(by, n, n_pos, auc, lo, hi): ROC-AUC with DeLong's 95 % interval, cut to [0, 1], from counts by score.
 
-    With one class the area is 1/2 and the interval null; so is the interval where a class has one row."""
+    With one class the area is 1/2 and the interval null; so is the interval where a class has one row.
+    Groups with a null in by are left out."""
     counts = materialise(below(score_counts(df, score, y, by).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg", "pos"], by))
     whole = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = counts.select(*by, "pos", "neg", "below_pos", "below_neg").join(whole, list(by))
