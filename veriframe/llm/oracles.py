@@ -1,7 +1,7 @@
 """SQL for the corpus queries that SQL can express.
 
-The others need zstandard (3), trained models (4, 6), tokenizers (5, 9), Ogg bytes (7) or XXH64 with
-a seed (10); tests hold those against brute force, round trips and held-out rows."""
+The others need zstandard (3), trained models (4, 6), tokenizers (5, 9, 13), Ogg bytes (7), XXH64 with
+a seed (10) or CRC-32 (11); tests hold those against brute force, round trips and held-out rows."""
 
 from __future__ import annotations
 
@@ -66,4 +66,25 @@ due as (select r.doc_id, r.size, t.source_size, t.target, r.rank, case when t.so
   ({NUMBER.format("md5('7:' || r.no_source || ':' || r.source)")} % {OFFSET_STEPS}) / {OFFSET_STEPS}.0::double as u from ranked r join targets t using (no_source, source))
 select doc_id, size, source_size, target, cast((floor((rank + 1) * due + u) - floor(rank * due + u)) * size as bigint) as taken from due"""
 
-SQL = {"op1_secret_scan": SECRETS, "op2_chat_format": CHAT, "op8_mixing": MIXING}
+FAR = "list_sum(list_transform(range(1, 65), lambda k: (v.v[k] - c.v[k]) * (v.v[k] - c.v[k])))::bigint"
+
+
+def clustering(k: int = 8, rounds: int = 10) -> str:
+    """One assignment and one move of the centroids after the other, then the last assignment."""
+    steps = [
+        f"""v as materialized (select row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, ''))) as row, vec_id, sha256('3:' || coalesce(vec_id::varchar, '')) as digest,
+  list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"c0 as materialized (select row_number() over (order by digest, v) - 1 as i, v from v qualify row_number() over (order by digest, v) <= {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select row, vec_id, v, i, d from (select v.row, v.vec_id, v.v, c.i, {FAR} as d from v cross join c{r} c) qualify row_number() over (partition by row order by d, i) = 1)")
+        if r < rounds:
+            steps.append(f"""s{r} as materialized (select i, list(m order by k) as v from (select i, k, (s - ((s % n) + n) % n) // n as m from (
+  select i, k, sum(v[k])::bigint as s, count(*) as n from a{r}, (select unnest(range(1, 65)) as k) group by i, k)) group by i)""")
+            steps.append(f"c{r + 1} as materialized (select c.i, coalesce(s.v, c.v) as v from c{r} c left join s{r} s using (i))")
+    return "with " + ",\n".join(steps) + f"""
+select a.vec_id, a.i::int as cluster, a.d as distance, sum(a.d) over (partition by a.i)::bigint as cluster_inertia, sum(a.d) over ()::bigint as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256 from a{rounds} a join c{rounds} c using (i)"""
+
+
+SQL = {"op1_secret_scan": SECRETS, "op2_chat_format": CHAT, "op8_mixing": MIXING, "op12_centroids": clustering()}

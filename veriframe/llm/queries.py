@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, ogg, quality, secrets, sentencepiece_codec, simhash, tokens, toxicity
+from . import centroids, chat, language, mixing, ogg, packing, quality, secrets, sentencepiece_codec, simhash, spelling, tokens, toxicity
 from .common import held_out, materialise, read
 
 
@@ -124,6 +124,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.written(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: One run of a document in so many loses a letter.
+MISSPELT = 199
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words, a null doc_id is an empty one in the digest, copies of a document count each;
+    the most frequent near word is the form, ties to the first by code point."""
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), drop_every=MISSPELT))
+
+
+#: Clusters, rounds, and what stands before an id whose digest orders the first centroids.
+CLUSTERS, ROUNDS, SALT = 8, 10, "3:"
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of another length, or with a null or non-finite component, go; rows of one vec_id stay each, a null
+    vec_id is an empty one in the digest, and equal digests are ordered by their vectors."""
+    order = F.sha2(F.concat(F.lit(SALT), F.coalesce(F.col("doc.vec_id").cast("string"), F.lit(""))), 256)
+    found = centroids.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), order, CLUSTERS, ROUNDS)
+    return found.select("doc.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text is the end token alone; rows of one doc_id, or of none, are documents of their own."""
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_format": op2_chat_format,
@@ -135,4 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
 }
