@@ -59,6 +59,58 @@ def test_two_streams_times_and_damage():
     assert struct.unpack_from("<4s", media)[0] == b"OggS"
 
 
+def parts_of(media):
+    """The pages of a file, by their stated lengths alone."""
+    out, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        end = at + 27 + n + sum(media[at + 27 : at + 27 + n])
+        out.append(media[at:end])
+        at = end
+    return out
+
+
+def slow_payloads(media):
+    """Payload of each sample stream, by the format's own terms: from a first page of serial 1 to its last."""
+    found = []
+    for page in parts_of(media):
+        flags, serial, n = page[5], struct.unpack_from("<I", page, 14)[0], page[26]
+        if serial == 1 and flags & 2:
+            found.append(b"")
+        if serial == 1 and not flags & 2:
+            found[-1] += page[27 + n :]
+    return found
+
+
+def test_files_end_to_end_are_links_of_their_own():
+    rng = random.Random(6)
+    payloads = [rng.randbytes(n) for n in (512, 640, 9000, 64)]
+    media = [ogg.encode(p, b"n") for p in payloads]
+    for k in (1, 2, 4):
+        found = ogg.decode(b"".join(media[:k]))
+        assert found.links == k and len(found.every) == 2 * k and found.bad_pages == 0
+        audio = [s for s in found.every if s.serial == 1]
+        assert [b"".join(s.packets[1:]) for s in audio] == payloads[:k] == slow_payloads(b"".join(media[:k]))
+        assert [s.link for s in audio] == list(range(k)) and all(s.ended and not (s.bad_packets or s.lost_pages or s.repeated_pages) for s in found.every)
+        assert ogg.summary(b"".join(media[:k]))[:2] == (512, hashlib.sha256(payloads[0]).hexdigest())
+    cut = media[2][: len(media[2]) // 2]  # a link that never ends
+    found = ogg.decode(cut + media[1])
+    assert found.links == 2 and b"".join(found.every[2].packets[1:]) == payloads[1] and not found.every[0].ended
+
+
+def test_repeated_pages_are_counted_and_left_out():
+    payload = random.Random(7).randbytes(200_000)
+    parts = parts_of(ogg.encode(payload, b"n"))
+    for i in range(len(parts)):
+        found = ogg.decode(b"".join([*parts[: i + 1], parts[i], *parts[i + 1 :]]))
+        assert b"".join(ogg.by_kind(found, ogg.AUDIO).packets[1:]) == payload
+        assert (found.links, sum(s.repeated_pages for s in found.every), sum(s.bad_packets + s.lost_pages for s in found.every)) == (1, 1, 0)
+    late = ogg.decode(b"".join([*parts, parts[-1], parts[4]]))
+    assert b"".join(ogg.by_kind(late, ogg.AUDIO).packets[1:]) == payload and sum(s.repeated_pages for s in late.every) == 2
+    lost = ogg.decode(b"".join([*parts[:4], *parts[5:]]))
+    assert sum(s.lost_pages for s in lost.every) == 1
+
+
 def test_awkward_rows_and_broken_media(spark):
     stored = ogg.write_media(frame(spark))
     rows = ogg.read_media(stored).select("row.doc.text", "row.n_bytes", "read.*").collect()

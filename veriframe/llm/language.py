@@ -18,11 +18,11 @@ from .common import hash_fraction, held_out, labelled_sample, materialise
 
 #: Rows of each language that a fit reads, about; landmarks of each language; ridge.
 PER_LABEL, LANDMARKS, RIDGE = 500, 24, 1e-3
-#: Landmarks of all languages together at most; longer texts take no part in a fit; bytes of the matrix of
-#: landmarks at most, which is what goes to all tasks.
-ALL_LANDMARKS, LONGEST, MODEL_BYTES = 1536, 50_000, 128 << 20
-#: Code points whose n-grams are listed at a time, and texts in a matrix product.
-BLOCK, BATCH = 1 << 20, 64
+#: Landmarks of all languages together at most; n-grams of one landmark at most; bytes of the matrix of landmarks
+#: at most, which is what goes to all tasks.
+ALL_LANDMARKS, LANDMARK_GRAMS, MODEL_BYTES = 1536, 16_384, 128 << 20
+#: Code points whose n-grams are listed at a time, texts in a matrix product, and bytes of a batch's matrix.
+BLOCK, BATCH, BATCH_BYTES = 1 << 20, 64, 32 << 20
 UNKNOWN = "und"
 #: How steeply a lead in the regression becomes a score.
 SHARPNESS = 6.0
@@ -42,18 +42,30 @@ def grams(text: str) -> np.ndarray:
     return found
 
 
+def sketch(found: np.ndarray, most: int) -> np.ndarray:
+    """At most so many of a text's n-grams, those that a mixing of their bits puts first: an even sample of
+    the whole text's, whatever its length, and all where there are no more. Sorted."""
+    if len(found) <= most:
+        return found
+    mixed = found * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.sort(found[np.argsort(mixed ^ mixed >> np.uint64(32), kind="stable")[:most]])
+
+
 @dataclass
 class Model:
     languages: list[str]
     vocabulary: np.ndarray  # n-grams of the landmarks, sorted
     landmarks: np.ndarray  # n-grams x landmarks: presence over the root of the landmark's number
     weights: np.ndarray  # landmarks x languages
+    dropped: int = 0  # n-grams of landmarks that MODEL_BYTES left no room for
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        """Texts x landmarks."""
+        """Texts x landmarks, by matrix products of BATCH texts, or of as many as BATCH_BYTES hold."""
         out = np.empty((len(texts), self.landmarks.shape[1]), np.float32)
-        for k in range(0, len(texts), BATCH):
-            part = texts[k : k + BATCH]
+        batch = max(1, min(BATCH, BATCH_BYTES // (4 * max(1, len(self.vocabulary)))))
+        for k in range(0, len(texts), batch):
+            part = texts[k : k + batch]
             x = np.zeros((len(part), len(self.vocabulary)), np.float32)
             for i, t in enumerate(part):
                 g = grams(t)
@@ -76,40 +88,47 @@ class Model:
         return out
 
 
-def place_landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of the landmarks and their matrix. Where it would be over MODEL_BYTES, the n-grams that most
-    landmarks have stay, of equals the smaller numbers."""
-    lists = [grams(t) for t in texts]
+def place_landmarks(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """N-grams of the landmarks, given as sorted lists of theirs, their matrix, and how many n-grams were left out:
+    where the matrix would be over MODEL_BYTES, those that most landmarks have stay, of equals the smaller numbers."""
     vocabulary, seen = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.empty(0, np.uint64), np.empty(0, int))
+    every = len(vocabulary)
     most = max(1, MODEL_BYTES // (4 * max(1, len(lists))))
-    if len(vocabulary) > most:
+    if every > most:
         vocabulary = np.sort(vocabulary[np.argsort(-seen, kind="stable")[:most]])
     matrix = np.zeros((len(vocabulary), len(lists)), np.float32)
     for j, g in enumerate(lists):
         matrix[np.searchsorted(vocabulary, g[np.isin(g, vocabulary, assume_unique=True)]), j] = 1 / len(g) ** 0.5
-    return vocabulary, matrix
+    return vocabulary, matrix, every - len(vocabulary)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS, longest: int = LONGEST, seed: int = 5) -> Model:
-    """Fit on about per_label texts of each language of at most longest characters, landmarks of them (fewer
-    where ALL_LANDMARKS would be passed) to the driver.
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS, seed: int = 5) -> Model:
+    """Fit on about per_label texts of each language, of whatever length, landmarks of them (fewer where
+    ALL_LANDMARKS would be passed) to the driver.
 
-    Rows with a null text or lang, without a letter, or held out never take part. For the others of
-    the sample only their kernel rows come to the driver: per_label numbers of languages times
-    landmarks. Without any row to learn from, every text is UNKNOWN."""
-    usable = docs.where((F.length(text) <= longest) & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
+    Rows with a null text or lang, without a letter, or held out never take part. Texts stay in the tasks: of a
+    landmark its n-grams come to the driver, LANDMARK_GRAMS at most (a sketch of the whole text beyond
+    that), and of the others of the sample their kernel rows: per_label numbers of languages times landmarks.
+    Without any row to learn from, every text is UNKNOWN."""
+    usable = docs.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     usable = usable.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sample = labelled_sample(usable, "lang", "key", per_label, seed)
     order = hash_fraction(F.col("key"), seed)
-    sample = marked = materialise(sample.withColumn("place", order * F.col("weight")))
+    sample = materialise(sample.withColumn("place", order * F.col("weight")))
     landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, sample.select("lang").distinct().count())))
-    share = landmarks / per_label
-    first = marked.where(F.col("place") < share).select("lang", "place", "key", "text").collect()
-    if not first:  # fewer rows than landmarks
-        first = marked.select("lang", "place", "key", "text").orderBy("place", "key", "text").limit(landmarks).collect()
-    first = sorted(first, key=lambda r: (r["lang"], r["place"], r["key"], r["text"]))
-    vocabulary, matrix = place_landmarks([r["text"] for r in first])
-    half = Model([], vocabulary, matrix, np.empty((matrix.shape[1], 0)))
+
+    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["grams"] = [sketch(grams(t), LANDMARK_GRAMS).astype(np.int64) for t in b["text"]]
+            yield b.drop(columns="text")
+
+    chosen = sample.where(F.col("place") < landmarks / per_label)
+    if not chosen.limit(1).count():  # fewer rows than landmarks
+        chosen = sample.orderBy("place", "key", "text").limit(landmarks)
+    placed = chosen.select("lang", "place", "key", "text").mapInPandas(sketches, "lang string, place double, key string, grams array<long>").collect()
+    placed = sorted(placed, key=lambda r: (r["lang"], r["place"], r["key"], r["grams"]))
+    vocabulary, matrix, dropped = place_landmarks([np.array(r["grams"], np.int64).astype(np.uint64) for r in placed])
+    half = Model([], vocabulary, matrix, np.empty((matrix.shape[1], 0)), dropped)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -126,7 +145,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     phi = k @ root
     balance = np.array([len(data) / sum(d[0] == x for d in data) for x in languages])[np.argmax(y, axis=1)]
     ridge = np.linalg.solve(phi.T @ (phi * balance[:, None]) + RIDGE * len(data) * np.eye(phi.shape[1]), phi.T @ (y * balance[:, None]))
-    return Model(languages, vocabulary, matrix, (root @ ridge).astype(np.float32))
+    return Model(languages, vocabulary, matrix, (root @ ridge).astype(np.float32), dropped)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Media columns: Ogg files written and read inside tasks.
 
 Reading verifies page checksums, puts packets together from lacing values (over pages too), keeps
-logical streams apart by serial number and derives times from granule positions."""
+logical streams apart by serial number, and files that stand end to end (chained links) apart by
+where streams begin anew, and derives times from granule positions."""
 
 from __future__ import annotations
 
@@ -34,6 +35,7 @@ def checksum(page: bytes) -> int:
 
 
 def page(serial: int, number: int, granule: int, flags: int, lacing: bytes, body: bytes) -> bytes:
+    """One page with its checksum; up to 255 lacing values, which add up to the body's length. An empty body is allowed."""
     head = PAGE.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing
     crc = checksum(head + body)
     return head[:22] + struct.pack("<I", crc) + head[26:] + body
@@ -85,10 +87,12 @@ def encode(payload: bytes, notes: bytes) -> bytes:
 @dataclass
 class Stream:
     serial: int
+    link: int = 0
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
     pages: int = 0
     lost_pages: int = 0
+    repeated_pages: int = 0
     bad_packets: int = 0
     ended: bool = False
     _partial: bytearray | None = None
@@ -100,11 +104,17 @@ class Stream:
         return [g / rate if rate and g >= 0 else None for g in self.granules]
 
     def add(self, number: int, granule: int, flags: int, lacing: bytes, body: memoryview) -> None:
-        if number != self._next:
-            self.lost_pages += max(0, number - self._next)
+        """Takes a page. Page numbers run modulo 2^32; one that goes back, and any page after the last one, is
+        counted as repeated and gives nothing."""
+        ahead = number - self._next & 0xFFFFFFFF
+        if ahead >= 1 << 31 or self.ended:
+            self.repeated_pages += 1
+            return
+        if ahead:
+            self.lost_pages += ahead
             if self._partial is not None:
                 self.bad_packets, self._partial = self.bad_packets + 1, None
-        self._next, self.pages, self.ended = number + 1, self.pages + 1, self.ended or bool(flags & LAST)
+        self._next, self.pages, self.ended = number + 1 & 0xFFFFFFFF, self.pages + 1, bool(flags & LAST)
         orphan = bool(flags & CONTINUED) and self._partial is None
         if not flags & CONTINUED and self._partial is not None:
             self.bad_packets, self._partial = self.bad_packets + 1, None
@@ -127,21 +137,49 @@ class Stream:
 
 @dataclass
 class Decoded:
-    streams: dict[int, Stream] = field(default_factory=dict)
+    """Streams in the order in which they begin; a serial number may come again in a later link."""
+
+    every: list[Stream] = field(default_factory=list)
+    links: int = 0
     bad_pages: int = 0
     skipped_bytes: int = 0
+    _begins: bool = False
+
+    @property
+    def streams(self) -> dict[int, Stream]:
+        """By serial number, the first link that has it."""
+        return {s.serial: s for s in reversed(self.every)}
+
+    def stream(self, serial: int, number: int, flags: int, again: bool) -> Stream:
+        """The stream that a page belongs to. A first page begins a stream, and a link where pages that are no
+        first ones came since or the link has its serial number; only one that is the page right before it again belongs to the stream that began."""
+        known = next((s for s in reversed(self.every) if s.serial == serial), None)
+        if known and not flags & FIRST:
+            self._begins = False
+            return known
+        if known and again:
+            return known
+        if not self._begins or known and known.link == self.links - 1:
+            self.links += 1
+        self._begins = bool(flags & FIRST)
+        found = Stream(serial, self.links - 1)
+        if flags & FIRST:
+            found._next = number
+        self.every.append(found)
+        return found
 
 
 def decode(data: bytes) -> Decoded:
-    """All streams of an Ogg file. A page whose checksum is wrong is counted and left out; bytes that
+    """All streams of an Ogg file, of files end to end too. A page whose checksum is wrong is counted and left out; bytes that
     are no page are skipped up to the next page; a file cut short gives what is whole."""
-    out, at, view = Decoded(), 0, memoryview(data)
+    out, at, view, before = Decoded(), 0, memoryview(data), b""
     while at < len(data):
         start = data.find(b"OggS", at)
         if start < 0:
             out.skipped_bytes += len(data) - at
             break
         out.skipped_bytes += start - at
+        before = before if start == at else b""
         at = start
         if len(data) - at < PAGE.size:
             out.skipped_bytes += len(data) - at
@@ -155,13 +193,14 @@ def decode(data: bytes) -> Decoded:
             out.skipped_bytes += 4
             at += 4
             continue
-        out.streams.setdefault(serial, Stream(serial)).add(number, granule, flags, lacing, view[at + PAGE.size + n : end])
-        at = end
+        out.stream(serial, number, flags, data[at:end] == before).add(number, granule, flags, lacing, view[at + PAGE.size + n : end])
+        before, at = data[at:end], end
     return out
 
 
 def by_kind(found: Decoded, kind: bytes) -> Stream | None:
-    return next((s for s in found.streams.values() if s.packets and s.packets[0][:8] == kind), None)
+    """The first stream whose first packet names the kind; None where none does."""
+    return next((s for s in found.every if s.packets and s.packets[0][:8] == kind), None)
 
 
 def features(samples: np.ndarray, seconds: list[float | None]) -> str:
@@ -175,7 +214,7 @@ def features(samples: np.ndarray, seconds: list[float | None]) -> str:
 STORED = "n_bytes long, media binary"
 READ = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "n_streams long, n_packets long, bad_pages long, bad_packets long"
+    "n_streams long, n_packets long, bad_pages long, bad_packets long, n_links long, lost_pages long, repeated_pages long"
 )
 
 
@@ -187,14 +226,15 @@ def store(text: str | None) -> tuple[int, bytes]:
 
 
 def summary(media: bytes | None) -> tuple:
+    """What READ names, of one file: the payload of the first sample stream, and counts over all links. Null is an empty file."""
     found = decode(media or b"")
     audio = by_kind(found, AUDIO)
     payload = b"".join(audio.packets[1:]) if audio else b""
     feature = features(np.frombuffer(payload, np.uint8), audio.seconds()) if payload else ""
-    streams = found.streams.values()
+    streams = found.every
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), feature,
-        len(streams), sum(len(s.packets) for s in streams), found.bad_pages, sum(s.bad_packets for s in streams),
+        len(streams), sum(len(s.packets) for s in streams), found.bad_pages, sum(s.bad_packets for s in streams), found.links, sum(s.lost_pages for s in streams), sum(s.repeated_pages for s in streams),
     )
 
 
@@ -211,7 +251,7 @@ def write_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df with what its Ogg column holds: payload of the first sample stream, features, counts of
-    streams, packets and faults. A null or broken file gives counts and an empty payload, no error."""
+    streams, packets, links and faults. A null or broken file gives counts and an empty payload, no error."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in READ.split(", ")]

@@ -21,8 +21,10 @@ STEMS = (4, 5, 6)
 #: Rows of each label that a fit reads, about; features kept at most; documents of the sample that must
 #: have one; standard errors that its shares among toxic and clean documents must be apart.
 PER_LABEL, FEATURES, SUPPORT, APART = 3000, 4096, 3, 4.0
-#: Longer texts take no part in a fit, so what a fit gathers has a bound; they are scored like all others.
-LONGEST = 50_000
+#: Different sentences (as lists of features) of a document that a fit takes as they are; those beyond are
+#: taken by their strongest feature alone, of which as many again may differ, and as sentences without one then.
+#: So texts of any length take part, and what a fit gathers has a bound.
+BAG = 256
 #: Documents whose features are listed at a time.
 LISTED = 64
 #: Sentences that score this much are named as offending.
@@ -43,6 +45,21 @@ def patterns(text: str, keep: dict[str, int]) -> Counter:
     return out
 
 
+def bounded(found: Counter, most: int) -> Counter:
+    """At most 2 * most + 1 lists of features that stand for all sentences of a document, none left out.
+
+    Feature numbers run from the strongest on, so lists that come first in order stay as they are."""
+    if len(found) <= most:
+        return found
+    ordered = sorted(found, key=lambda x: (not x, x))
+    out, rest = Counter({x: found[x] for x in ordered[:most]}), Counter()
+    for x in ordered[most:]:
+        rest[x[:1]] += found[x]
+    for i, x in enumerate(sorted(rest, key=lambda x: (not x, x))):
+        out[x if i < most else ()] += rest[x]
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -99,19 +116,19 @@ def noisy_or_fit(docs: list[tuple[float, float, list[tuple[tuple[int, ...], int]
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, longest: int = LONGEST, seed: int = 11) -> Model:
-    """Fit on about per_label documents of each label of at most longest characters; ids that held_out()
-    keeps back never take part.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, bag: int = BAG, seed: int = 11) -> Model:
+    """Fit on about per_label documents of each label, of whatever length; ids that held_out() keeps back
+    never take part.
 
     A document labelled more than once is toxic if one label says so; null labels and ids don't
     count. Sampled labels weigh as many rows as they stand for, so scores keep the true rate. The
     sample is 2 * per_label rows or so of two numbers and is sent to all tasks; the sampled texts are
     stored once, and what comes to the driver is FEATURES features and the sample's sentences as lists
-    of their numbers. Without both labels every score is the share of toxic labels."""
+    of their numbers, about 2 * bag a document at most. Without both labels every score is the share of toxic labels."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = labelled_sample(known, "y", "key", per_label, seed)
-    texts = materialise(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(sample), "key").select("y", "weight", "text"))
+    texts = materialise(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").select("y", "weight", "text"))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [patterns(t or "", keep) for t in b["text"]]
+            found = [bounded(patterns(t or "", keep), bag) for t in b["text"]]
             yield pd.DataFrame({"y": b["y"], "weight": b["weight"], "features": [[list(k) for k in c] for c in found], "times": [list(c.values()) for c in found]})
 
     bags = texts.mapInPandas(sentences, "y int, weight double, features array<array<int>>, times array<long>").collect()
