@@ -34,6 +34,12 @@ RECORDS = {
     "messages 6": ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image", "url": "u"}, "r"]}, {"role": "assistant", "content": "a"}]}, [("user", "q[image]r"), ("assistant", "a")]),
     "messages 7": ({"messages": [{"content": "q"}, {"role": "assistant"}]}, [("", "q"), ("assistant", "")]),
     "messages 8": ({"messages": [{"role": "user", "content": {"k": 1}}, {"role": "assistant", "content": 5}]}, [("user", '{"k":1}'), ("assistant", "5")]),
+    "messages 9": ({"data": {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, "messages": []}, QA),
+    "turn_rows 2": ({"messages": [], "turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]}, QA),
+    "prompt_response 2": ({"messages": [], "conversations": [], "prompt": "q", "response": "a"}, QA),
+    "messages 10": ({"data": {"messages": []}, "turns": [], "id": 1}, []),
+    "list": ([{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], QA),
+    "list 2": ({"data": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 2}, QA),
     "instruction 2": ({"record": {"instruction": ["q", "w"], "output": "a"}, "system": "outside"}, [("user", "qw"), ("assistant", "a")]),
     "instruction 3": ({"system": "s", "instruction": "q", "input": "i", "output": "a"}, [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]),
 }
@@ -85,6 +91,16 @@ def test_fingerprints_are_of_all_nested_paths(spark):
         assert r["p"] == want and r["f"] == hashlib.sha256("\n".join(want).encode()).hexdigest()
 
 
+def test_paths_are_read_once_a_schema(spark, monkeypatch):
+    """10,000 records of two schemas: what reads the paths stands behind an aggregation by schema."""
+    rows = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, F.lit('{"prompt": "q", "response": "a"}')).otherwise(F.lit('{"prompt": "q", "completion": "a"}')).alias("j"))
+    shapes = chat.schemas(rows.select(F.schema_of_variant(F.try_parse_json("j")).alias("schema"))).collect()
+    assert sorted((r["layout"], r["n"]) for r in shapes) == [("prompt_completion", 5000), ("prompt_response", 5000)]
+    seen = []
+    monkeypatch.setattr(chat, "field_paths", lambda s, f=chat.field_paths: seen.append(1) or f(s))
+    assert chat.canonical_turns(rows, "j").where(F.size("turns") == 2).count() == 10_000 and len(seen) == 1
+
+
 def test_typed_rows_with_nulls_repeats_and_extra_columns(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None), (None, 3, "user", "lost"), (2, None, "system", "first"), (2, 5, "user", "x" * 100_000)]
     df = spark.createDataFrame([(*r, "z", "z") for r in rows], "conv_id long, turn long, role string, text string, turns string, layout string")

@@ -43,16 +43,19 @@ def slow_kept(texts, limits=quality.Limits()):
     groups, bands = defaultdict(list), {}
     for n, packed in {x for t, c in zip(texts, cut, strict=True) if not brute(t)[-1] for x in c}:
         groups[place(n)].append(math.floor(n / packed * quality.BINS))
-    for k, values in groups.items():
-        if len(values) >= limits.support:
-            a, m, b = ((x + 0.5) / quality.BINS for x in np.percentile(values, [25, 50, 75]))
-            wide = max(limits.spread * (b - a) / 1.349, limits.slack * m)
-            bands[k] = m - wide, m + wide
+    found = {k: (len(v), *((x + 0.5) / quality.BINS for x in np.percentile(v, [25, 50, 75]))) for k, v in groups.items()}
+    for k in {place(n) for c in cut for n, _ in c}:
+        near = {j: v[0] * limits.decay ** abs(j - k) for j, v in found.items() if abs(j - k) <= limits.reach}
+        if near:
+            mean = lambda f: sum(near[j] * f(found[j]) for j in near) / sum(near.values())
+            m = mean(lambda v: v[2])
+            wide = max(limits.spread * mean(lambda v: v[3] - v[1]) / 1.349, limits.slack * m)
+            bands[k] = m - wide, m + wide, sum(near.values()) / (sum(near.values()) + limits.support)
 
     def fits(n, packed):
         _, low, high = next(x for x in limits.outer if n <= x[0])
-        a, b = bands.get(place(n), (low, high))
-        return max(a, low) <= n / packed <= min(b, high)
+        a, b, share = bands.get(place(n), (low, high, 0))
+        return max(share * a + (1 - share) * low, low) <= n / packed <= min(share * b + (1 - share) * high, high)
 
     odd = lambda c: sum(not fits(*x) for x in c[1:])
     return [not brute(t)[-1] and fits(*c[0]) and odd(c) <= limits.odd_chunks * (len(c) - 1) for t, c in zip(texts, cut, strict=True)]
@@ -106,7 +109,7 @@ def test_kept_equals_brute_force_over_a_table_and_the_bands_decide(spark):
     assert sum(not reached[d] for d in reached if good[d] == 0) > 0.5 * sum(good[d] == 0 for d in reached)
 
 
-def test_copies_have_one_voice_and_few_texts_no_band(spark):
+def test_copies_have_one_voice(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8))) for _ in range(500)]
     prose = [" ".join(rng.choice(words) for _ in range(rng.randint(190, 200))) for _ in range(120)]
@@ -114,4 +117,21 @@ def test_copies_have_one_voice_and_few_texts_no_band(spark):
     docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate([*prose, *[copied] * 2000])])
     kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs).select("doc.doc_id", "kept").collect()}
     assert sum(kept[i] for i in range(120)) >= 118 and not any(kept[i] for i in range(120, 2120))
-    assert quality.fit(quality.measure(frame(spark))) == {} and quality.fit(quality.measure(frame(spark, []))) == {}
+    assert quality.fit(quality.measure(frame(spark, []))) == {}
+
+
+def test_bands_tighten_steadily_with_texts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(195)) for _ in range(80)]
+    limits, bands = quality.Limits(), []
+    measured = quality.assess(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).select("doc.doc_id", "base_failed", "n_bytes", "packed", "chunks").collect()
+    schema = "doc_id long, base_failed boolean, n_bytes long, packed long, chunks array<struct<n_bytes:long,packed:long>>"
+    k = math.floor(math.log2(measured[0]["n_bytes"]) * limits.steps)
+    for n in (1, 10, 49, 50, 51, 80):
+        low, _, share = quality.fit(spark.createDataFrame(measured[:n], schema))[k]
+        bands.append(share * low + (1 - share) * 1.15)
+    assert all(a <= b + 0.02 for a, b in zip(bands, bands[1:], strict=False)) and bands[0] < 1.3 < bands[-1]
+    assert max(bands[2:5]) - min(bands[2:5]) < 0.05
+    alone = quality.fit(spark.createDataFrame(measured[:60], schema))
+    assert alone[k - 3][2] > 0 and alone[k - 3][2] < alone[k - 1][2] < alone[k][2]  # rare lengths borrow

@@ -1,7 +1,7 @@
 """Chat formatting: schema fingerprints choose a mapping to canonical turns, a template marks them.
 
-A record's nested field paths, whatever their depth, are hashed; every distinct fingerprint of a table is
-looked up once in declarative layouts, and records follow their fingerprint. DataFrame functions only."""
+The nested field paths of every distinct schema of a table, whatever their depth, are hashed; each
+fingerprint is looked up in declarative layouts, and records follow their schema. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -26,7 +26,8 @@ OPEN, CLOSE = "### ", "</turn>\n"
 class Layout:
     """How one shape of record maps to turns.
 
-    Either items, the name of a list with a role and a text for each turn, or parts: roles, each with the
+    Either items, the name of a list with a role and a text for each turn ("" where the record itself is that
+    list), or parts: roles, each with the
     names of fields whose texts, joined by a blank line, make one turn. needed are the fields that must be
     there; the other ones may be absent. roles renames roles."""
 
@@ -43,6 +44,7 @@ class Layout:
 #: of a talk, and fields beside them repeat a part of it.
 LAYOUTS = (
     Layout("messages", items="messages", role="role", text="content"),
+    Layout("list", items="", role="role", text="content"),
     Layout("turn_rows", items="turns", role="role", text="text"),
     Layout("from_value", items="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
     Layout("instruction", parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), needed=("instruction", "output")),
@@ -53,7 +55,7 @@ LAYOUTS = (
 #: Objects that a layout's fields may stand in, besides the record itself.
 WRAPPERS = ("", "data", "record", "example", "sample", "conversation", "row")
 
-#: Shapes that are sent to all tasks; more are joined by shuffle, where a shape with over one in HOT_SHARE
+#: Schemas that are sent to all tasks; more are joined by shuffle, where one with over one in HOT_SHARE
 #: records is dealt over parts.
 LISTED, HOT_SHARE = 10_000, 1000
 
@@ -95,26 +97,52 @@ def field_paths(schema: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda p: (p != "") & (p != "*"))))
 
 
+def place(x: Layout, wrapper: str) -> str:
+    """Path of a layout's list in a wrapper; the record or the wrapper itself is the list where items is empty."""
+    return f"{wrapper}.{x.items}[]" if wrapper and x.items else f"{wrapper}{x.items}[]"
+
+
 def accepts(x: Layout, wrapper: str, paths: Column) -> Column:
-    """Whether a record with these paths has the layout x in the wrapper: fields of parts, or a list that
-    is empty or has roles or texts."""
+    """Whether a record with these paths has the layout x in the wrapper, with something in it: fields of
+    parts, or a list that has roles or texts."""
     at = f"{wrapper}." if wrapper else ""
-    has = lambda p: F.array_contains(paths, at + p)
+    has = lambda p: F.array_contains(paths, p)
+    if x.items is None:
+        return F.forall(F.array(*[F.lit(at + p) for p in x.needed]), lambda p: has(p) | has(F.concat(p, F.lit("[]"))))
+    items = place(x, wrapper)
+    return has(f"{items}.{x.role}") | has(f"{items}.{x.text}") | has(f"{items}.{x.text}[]")
+
+
+def empty(x: Layout, wrapper: str, paths: Column) -> Column:
+    """Whether the list of the layout x is there, by its name, and empty."""
     if not x.items:
-        return F.forall(F.array(*[F.lit(at + p) for p in x.needed]), lambda p: F.array_contains(paths, p) | F.array_contains(paths, F.concat(p, F.lit("[]"))))
-    inside = F.exists(paths, lambda p: F.startswith(p, F.lit(f"{at}{x.items}[]")) & (p != f"{at}{x.items}[]"))
-    return has(f"{x.items}[].{x.role}") | has(f"{x.items}[].{x.text}") | has(f"{x.items}[].{x.text}[]") | (has(f"{x.items}[]") & ~inside)
+        return F.lit(False)
+    items = place(x, wrapper)
+    return F.array_contains(paths, items) & ~F.exists(paths, lambda p: F.startswith(p, F.lit(items)) & (p != items))
+
+
+def schemas(shapes: DataFrame, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """(key, fingerprint, paths, layout, wrapper, n): one row for each distinct schema, whose digest is key. Paths are
+    read here and nowhere else, so once a schema and not once a record.
+
+    Layouts are tried in order, wrappers inside each, first those with something in them, then empty
+    lists; layout and wrapper are null where none fits."""
+    each = shapes.groupBy("schema").agg(F.count(F.lit(1)).alias("n")).withColumn("paths", field_paths(F.col("schema")))
+    fits = [F.when(f(x, w, F.col("paths")), F.struct(F.lit(x.name).alias("layout"), F.lit(w).alias("wrapper"))) for f in (accepts, empty) for x in layouts for w in wrappers]
+    found = each.withColumn("fit", F.coalesce(*fits))
+    return found.select(schema_key(F.col("schema")).alias("key"), fingerprint(F.col("paths")).alias("fingerprint"), "paths", "fit.layout", "fit.wrapper", "n")
 
 
 def catalogue(shapes: DataFrame, layouts: Sequence[Layout] = LAYOUTS, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
     """(fingerprint, paths, layout, wrapper, n) of every shape of record: one row for each fingerprint.
 
-    shapes has a row for each record with its schema. Layouts are tried in order, wrappers inside each;
-    layout and wrapper are null where none fits."""
-    each = shapes.groupBy("schema").agg(F.count(F.lit(1)).alias("n")).withColumn("paths", field_paths(F.col("schema")))
-    each = each.groupBy(fingerprint(F.col("paths")).alias("fingerprint")).agg(F.first("paths").alias("paths"), F.sum("n").alias("n"))
-    fits = [F.when(accepts(x, w, F.col("paths")), F.struct(F.lit(x.name).alias("layout"), F.lit(w).alias("wrapper"))) for x in layouts for w in wrappers]
-    return each.withColumn("fit", F.coalesce(*fits)).select("fingerprint", "paths", "fit.layout", "fit.wrapper", "n")
+    shapes has a row for each record with its schema; schemas of equal paths have one fingerprint, and so one layout."""
+    one = [F.first(c).alias(c) for c in ("paths", "layout", "wrapper")]
+    return schemas(shapes, layouts, wrappers).groupBy("fingerprint").agg(*one, F.sum("n").alias("n"))
+
+
+def schema_key(schema: Column) -> Column:
+    return F.md5(F.coalesce(schema, F.lit("")))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -135,11 +163,12 @@ def text_of(value: Column) -> Column:
 def turns_of(x: Layout, value: Column) -> Column:
     """Canonical turns of a variant that has the layout x."""
     got = lambda v, name: F.try_variant_get(v, F.lit(f"$['{name}']"), "variant")
-    if x.items:
+    if x.items is not None:
+        path = f"$['{x.items}']" if x.items else "$"
         roles = F.create_map(*[F.lit(s) for pair in x.roles for s in pair]) if x.roles else None
         named = lambda r: F.coalesce(F.try_element_at(roles, r), r) if roles is not None else r
         one = lambda t: F.struct(named(text_of(got(t, x.role))).alias("role"), text_of(got(t, x.text)).alias("text"))
-        return F.transform(F.try_variant_get(value, F.lit(f"$['{x.items}']"), "array<variant>"), one)
+        return F.transform(F.try_variant_get(value, F.lit(path), "array<variant>"), one)
     there = lambda p: got(value, p).isNotNull() & (F.schema_of_variant(got(value, p)) != "VOID")
     texts = lambda ps: F.concat_ws("\n\n", *[F.when(there(p), text_of(got(value, p))) for p in ps])
     some = lambda ps: F.exists(F.array(*[there(p) for p in ps]), lambda ok: F.coalesce(ok, F.lit(False)))
@@ -151,22 +180,22 @@ def canonical_turns(records: DataFrame, json: str | None = None, layouts: Sequen
     """(record, fingerprint, layout, wrapper, turns) for every row of records; record holds the row as it came.
 
     json names a column of JSON texts; without it the columns of records are the fields. The fingerprint is
-    of all nested field paths that have a value, metadata's too; the catalogue of distinct fingerprints says
-    which layout each has, and where. A record that no layout fits, that can't be parsed or is null has a
+    of all nested field paths that have a value, metadata's too; the catalogue of distinct schemas says
+    which fingerprint and layout each has, and where. A list that is empty counts only where nothing else fits. A record that no layout fits, that can't be parsed or is null has a
     null layout and null turns: rejects() counts those. A missing or null role or text is an empty one, an
     empty list gives no turns, and content given as parts is put together. Rows are matched to the
-    catalogue by fingerprint; a fingerprint of many rows is dealt over many tasks. Repeated rows stay; no
+    catalogue by their schema's digest; a schema of many rows is dealt over many tasks. Repeated rows stay; no
     rows give none; no column of records can clash."""
     value = F.try_parse_json(F.col(json)) if json else F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
     rows = records.select(F.struct("*").alias("record"), value.alias("value"), F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows.withColumn("schema", F.schema_of_variant("value")).withColumn("schema", F.coalesce("schema", F.lit(""))))
-    shapes = materialise(catalogue(rows, layouts, wrappers).drop("paths"))
-    rows = rows.withColumn("fingerprint", let(F.col("schema"), lambda s: fingerprint(field_paths(s))))
+    shapes = materialise(schemas(rows, layouts, wrappers).drop("paths"))
+    rows = rows.withColumn("key", schema_key(F.col("schema")))
     n_shapes, n = shapes.agg(F.count(F.lit(1)), F.sum("n")).first()
     if n_shapes <= LISTED:
-        found = rows.join(F.broadcast(shapes.drop("n")), "fingerprint")
+        found = rows.join(F.broadcast(shapes.drop("n")), "key")
     else:
-        found = join_counted(rows, shapes, "fingerprint", "n", F.col("row"), max(1, n // HOT_SHARE))
+        found = join_counted(rows, shapes, "key", "n", F.col("row"), max(1, n // HOT_SHARE))
     inner = F.col("value")
     for w in wrappers:
         inner = F.when(F.col("wrapper") == w, F.try_variant_get("value", F.lit(f"$['{w}']"), "variant")).otherwise(inner) if w else inner

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -26,10 +26,12 @@ WINDOW = 8
 class Limits:
     """Compression bands: bytes before / bytes after compression, by length.
 
-    Lengths fall into classes, steps of them to each doubling. In a class the band is its median ratio
-    and spread times its robust deviation (interquartile range / 1.349) to both sides, at least slack of
-    the median; never beyond least and most, which alone hold in a class of fewer than support
-    different texts. A whole text outside the band of its length goes, and so does one of which more
+    Lengths fall into classes, steps of them to each doubling. In a class the fitted band is its median
+    ratio and spread times its robust deviation (interquartile range / 1.349) to both sides, at least
+    slack of the median. Median and deviation are means over the classes around, weighed by their
+    different texts and by decay for each class between, so a rare length borrows from its neighbours.
+    Where n texts count in this way, the band has n parts of the fitted limits and support parts of the
+    outer ones, so it tightens steadily as texts come; it is never beyond the outer ones. A whole text outside the band of its length goes, and so does one of which more
     than odd_chunks of its chunks are outside the band of theirs. Chunks have chunk bytes; the rest of a
     text belongs to its last chunk, and a text under two chunks is one."""
 
@@ -39,7 +41,9 @@ class Limits:
     spread: float = 4.5
     slack: float = 0.06
     outer: tuple[tuple[float, float, float], ...] = ((256, 0.0, 3.0), (2048, 1.15, 4.0), (16384, 1.4, 5.0), (float("inf"), 1.5, 6.0))
-    support: int = 50
+    support: float = 12.0
+    decay: float = 0.25
+    reach: int = 8
     odd_chunks: float = 0.25
 
 
@@ -76,6 +80,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def duplicate_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line; a text without words has none."""
     lines = Counter(line for line in text.split("\n") if line.strip(SPACES))
     return sum(n - 1 for n in lines.values())
 
@@ -87,6 +92,7 @@ def chunk_bounds(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def measured(text: str | None, pack, limits: Limits) -> tuple:
+    """What COLUMNS names, of one whole text; null counts as empty."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # of bytes: exactly the six ASCII spaces
@@ -123,40 +129,47 @@ def length_class(n_bytes: Column, steps: int) -> Column:
 
 
 def ratio(n_bytes: Column, packed: Column) -> Column:
+    """Bytes before to bytes after; 0 for an empty text."""
     return n_bytes / F.greatest(packed, F.lit(1))
 
 
-def fit(found: DataFrame, limits: Limits = Limits()) -> dict[int, tuple[float, float]]:
-    """Length class to (low, high), from all texts of measure() that the base rules keep, whole and chunks.
+def fit(found: DataFrame, limits: Limits = Limits()) -> dict[int, tuple[float, float, float]]:
+    """Length class to (low, high, share of the fitted band), from all texts of measure() that the base rules
+    keep, whole and chunks.
 
     Texts of equal length and packed length count once, so a text copied a million times has one
     voice. Ratios are counted by class and step of 1/BINS, which is all that is sorted; classes are few
-    (steps to a doubling), so one row for each comes to the driver. No rows give no classes."""
+    (steps to a doubling), so one row for each comes to the driver. Classes within reach of one with a
+    text get a band too; no rows give no classes."""
     each = found.where(~F.col("base_failed")).select(F.explode(F.array_distinct(F.concat("chunks", F.array(F.struct("n_bytes", "packed"))))).alias("c")).select("c.n_bytes", "c.packed").distinct()
     bins = each.groupBy(length_class(F.col("n_bytes"), limits.steps).alias("class"), F.floor(ratio(F.col("n_bytes"), F.col("packed")) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     rows = bins.groupBy("class").agg(F.sum("n").alias("n"), F.percentile("bin", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")).collect()
+    known = {r["class"]: (r["n"], *((x + 0.5) / BINS for x in r["q"])) for r in rows}
     out = {}
-    for r in rows:
-        if r["n"] >= limits.support:
-            low, middle, high = ((x + 0.5) / BINS for x in r["q"])
-            wide = max(limits.spread * (high - low) / 1.349, limits.slack * middle)
-            out[r["class"]] = middle - wide, middle + wide
+    for k in {k + d for k in known for d in range(-limits.reach, limits.reach + 1)}:
+        near = [(known[j][0] * limits.decay ** abs(j - k), known[j]) for j in sorted(known) if abs(j - k) <= limits.reach]
+        n = sum(w for w, _ in near)
+        middle = sum(w * x[2] for w, x in near) / n
+        wide = max(limits.spread * sum(w * (x[3] - x[1]) for w, x in near) / n / 1.349, limits.slack * middle)
+        out[k] = middle - wide, middle + wide, n / (n + limits.support)
     return out
 
 
-def judge(found: DataFrame, bands: dict[int, tuple[float, float]], limits: Limits = Limits()) -> DataFrame:
+def judge(found: DataFrame, bands: dict[int, tuple[float, float, float]], limits: Limits = Limits()) -> DataFrame:
     """What measure() gives with ratio, n_chunks, low_chunks, high_chunks and kept."""
-    pair = lambda low, high: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    pair = lambda low, high, share: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(share).alias("share"))
     of_class = F.create_map(*[x for k, band in sorted(bands.items()) for x in (F.lit(k), pair(*band))]) if bands else None
 
     def outer(n: Column) -> Column:
-        return F.coalesce(*[F.when(n <= up_to, pair(low, high)) for up_to, low, high in limits.outer])
+        return F.coalesce(*[F.when(n <= up_to, pair(low, high, 0.0)) for up_to, low, high in limits.outer])
 
     def out_of(n: Column, packed: Column, high: bool) -> Column:
         side, beyond = ("high", operator.gt) if high else ("low", operator.lt)
-        r = ratio(n, packed)
-        fitted = F.try_element_at(of_class, length_class(n, limits.steps))[side] if bands else F.lit(None)
-        return beyond(r, outer(n)[side]) | F.coalesce(beyond(r, fitted), F.lit(False))
+        r, least = ratio(n, packed), outer(n)[side]
+        if not bands:
+            return beyond(r, least)
+        mixed = let(F.try_element_at(of_class, length_class(n, limits.steps)), lambda b: b["share"] * b[side] + (1 - b["share"]) * least)
+        return beyond(r, least) | F.coalesce(beyond(r, mixed), F.lit(False))
 
     judged = found.withColumn("ratio", ratio(F.col("n_bytes"), F.col("packed"))).withColumn("n_chunks", F.size("chunks").cast("bigint"))
     odd = lambda high: F.size(F.filter("chunks", lambda c: out_of(c["n_bytes"], c["packed"], high))).cast("bigint")
