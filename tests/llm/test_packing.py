@@ -40,11 +40,20 @@ def test_words_apart_give_the_library_s_ids(tok, seed):
         assert np.frombuffer(made.ids(text), "<u4").tolist() == whole(tok, text)[:-1], repr(text)
 
 
+def test_plain_words_by_units(tok):
+    rng, made = random.Random(8), packing.Encoder(PATH)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA0, 0x180), 0x301, 0x212A, 0x130)]
+    for _ in range(300):
+        text = " ".join("".join(rng.choice(letters[:94] if rng.random() < 0.5 else letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", "'S", "'re", "'LL", "'", "<|startoftext|>"]) for _ in range(8))
+        assert np.frombuffer(made.ids(text), "<u4").tolist() == whole(tok, text)[:-1], repr(text)
+    assert made.by_units and len(made.units) > 100
+
+
 def test_forgotten_words_are_encoded_again(tok, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     made = packing.Encoder(PATH)
-    for i in range(20):
-        text = f"one two{i} three " + "long" * 30
+    for i in range(40):
+        text = f"one two{i % 7} three{i % 2} étude{i % 3} " + "long" * 30
         assert np.frombuffer(made.ids(text), "<u4").tolist() == whole(tok, text)[:-1]
 
 

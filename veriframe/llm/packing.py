@@ -8,8 +8,8 @@ one is left. Those leftovers, less than a window a partition, are merged in grou
 level by level, and what is left last is cut into powers of two, which need no padding.
 
 Documents are encoded by the words between ASCII white space: the tokenizer's file must show that no
-token, and nothing that its normaliser looks at, reaches over white space. A word is then encoded
-once for each task that meets it."""
+token, and nothing that its normaliser looks at, reaches over white space. A task encodes a word once as long as it remembers it; plain words are put together from
+units, which words share."""
 
 from __future__ import annotations
 
@@ -36,8 +36,8 @@ WINDOW = 4096
 OPEN = 32
 #: Bytes of an id.
 WIDE = 4
-#: Words that a task remembers, and bytes of the longest one.
-REMEMBERED, LONGEST_WORD = 1 << 19, 64
+#: Words, and units of words, that a task remembers twice over, and bytes of the longest one.
+REMEMBERED, LONGEST_WORD = 1 << 18, 64
 #: Words encoded at a time.
 BATCH = 4096
 #: Partitions whose leftovers one task merges.
@@ -76,45 +76,101 @@ def unsuitable(said: dict) -> str | None:
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Words of visible ASCII and of Latin-1 letters: composed already, lower-cased letter by letter, and cut by the
+#: same pattern with its classes spelt out.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_UNITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level models have for bytes: visible Latin-1 ones stand for themselves, the others, in
+    order, have the letters from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {**{b: chr(b) for b in visible}, **{b: chr(0x100 + i) for i, b in enumerate(hidden)}}
+
+
+class Memory(dict):
+    """Remembers about 2 * most values: those put or asked for since it was last full, and those before."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
 class Encoder:
-    """Ids of texts, as packed unsigned 32-bit numbers."""
+    """Ids of texts, as packed unsigned 32-bit numbers. A plain word goes to the tokenizer's model by units, which
+    many words share; any other goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of work here
         from tokenizers import Tokenizer
 
         with open(path, "rb") as f:
-            reason = unsuitable(json.load(f))
-        if reason:
+            said = json.load(f)
+        if reason := unsuitable(said):
             raise ValueError(f"{path}: {reason}; its words can't be encoded apart")
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-
-    def encode(self, words: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(words), BATCH):
-            texts = [w.decode("utf-8", "replace") for w in words[i : i + BATCH]]
-            for found in self.tok.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        self.by_units = "Lowercase" in steps and len(said["pre_tokenizer"].get("pretokenizers", [])) == 2 and said["model"]["type"] == "BPE"
+        self.special = [t["content"] for t in said["added_tokens"]]
+        self.letters = byte_letters()
+        self.model = self.tok.model
+        self.words, self.units = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def unit(self, unit: str) -> bytes:
+        try:
+            return self.units[unit]
+        except KeyError:
+            spelt = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
+            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+            if len(unit) <= LONGEST_WORD:
+                self.units[unit] = found
+            return found
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, its ids) for each word."""
+        rest = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.by_units and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+                yield w, b"".join(map(self.unit, PLAIN_UNITS.findall(text.lower())))
+            else:
+                rest.append((w, text))
+        for i in range(0, len(rest), BATCH):
+            some = rest[i : i + BATCH]
+            for (w, _), found in zip(some, self.tok.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                yield w, np.array(found.ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()  # of bytes: the six ASCII spaces only
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
             pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        long = {}
-        for w, found in zip(new, self.encode(new), strict=True):
-            (self.known if len(w) <= LONGEST_WORD else long)[w] = found
-        return b"".join([self.known[w] if w in self.known else long[w] for w in words])
+        old, long = self.words.old, {}
+        for w, found in self.encode([w for w in set(words).difference(self.words) if w not in old]):
+            (self.words if len(w) <= LONGEST_WORD else long)[w] = found
+        out = b"".join([long[w] if w in long else self.words[w] for w in words] if long else map(self.words.__getitem__, words))
+        self.words.turn()
+        self.units.turn()
+        return out
 
 
 class Piece(NamedTuple):
