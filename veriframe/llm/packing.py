@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 from typing import NamedTuple
@@ -38,8 +39,6 @@ OPEN = 32
 WIDE = 4
 #: Words, and units of words, that a task remembers twice over, and bytes of the longest one.
 REMEMBERED, LONGEST_WORD = 1 << 18, 64
-#: Words encoded at a time.
-BATCH = 4096
 #: Partitions whose leftovers one task merges.
 MERGED = 64
 #: Numbers of sequences: those of a task, and of a level of merging.
@@ -78,7 +77,7 @@ UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words of visible ASCII and of Latin-1 letters: composed already, lower-cased letter by letter, and cut by the
 #: same pattern with its classes spelt out.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 PLAIN_UNITS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -91,15 +90,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Remembers about 2 * most values: those put or asked for since it was last full, and those before."""
+    """What make(key) gave for about 2 * most keys: those asked for since it was last full, and those before. Keys
+    of over longest characters or bytes are made anew each time."""
 
-    def __init__(self, most: int):
+    def __init__(self, make: Callable, most: int, longest: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
-        self[key] = value = self.old[key]
-        return value
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        self[key] = found
+        return found
 
     def turn(self) -> None:
         if len(self) > self.most:
@@ -128,46 +133,26 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
-        self.by_units = "Lowercase" in steps and len(said["pre_tokenizer"].get("pretokenizers", [])) == 2 and said["model"]["type"] == "BPE"
-        self.special = [t["content"] for t in said["added_tokens"]]
-        self.letters = byte_letters()
-        self.model = self.tok.model
-        self.words, self.units = Memory(REMEMBERED), Memory(REMEMBERED)
+        by_units = "Lowercase" in steps and len(said["pre_tokenizer"].get("pretokenizers", [])) == 2 and said["model"]["type"] == "BPE"
+        special = "".join(f"(?!.*{re.escape(t['content'])})" for t in said["added_tokens"])
+        self.plain = re.compile(special + PLAIN) if by_units else re.compile("(?!)")
+        self.letters, self.model = byte_letters(), self.tok.model
+        self.units, self.words = Memory(self.unit, REMEMBERED, LONGEST_WORD), Memory(self.word, REMEMBERED, LONGEST_WORD)
 
     def unit(self, unit: str) -> bytes:
-        try:
-            return self.units[unit]
-        except KeyError:
-            spelt = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
-            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-            if len(unit) <= LONGEST_WORD:
-                self.units[unit] = found
-            return found
-
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(word, its ids) for each word."""
-        rest = []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if self.by_units and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-                yield w, b"".join(map(self.unit, PLAIN_UNITS.findall(text.lower())))
-            else:
-                rest.append((w, text))
-        for i in range(0, len(rest), BATCH):
-            some = rest[i : i + BATCH]
-            for (w, _), found in zip(some, self.tok.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                yield w, np.array(found.ids, "<u4").tobytes()
+        spelt = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
+        found = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.plain.fullmatch(text):
+            return b"".join(map(self.units.__getitem__, PLAIN_UNITS.findall(text.lower())))
+        found = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()  # of bytes: the six ASCII spaces only
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        old, long = self.words.old, {}
-        for w, found in self.encode([w for w in set(words).difference(self.words) if w not in old]):
-            (self.words if len(w) <= LONGEST_WORD else long)[w] = found
-        out = b"".join([long[w] if w in long else self.words[w] for w in words] if long else map(self.words.__getitem__, words))
+        out = b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split()))  # of bytes: the six ASCII spaces only
         self.words.turn()
         self.units.turn()
         return out
