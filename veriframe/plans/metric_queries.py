@@ -312,9 +312,13 @@ def k15(spark, sf_dir):
     return r9(thresholds.null_distribution(y, folds(spark, sf_dir), "y", TRIALS), "macro_f1")
 
 
-@query("k18_reconstruction", f"select tn::bigint as tn, fp::bigint as fp, fn::bigint as fn, tp::bigint as tp from (select tp, 60 - tp as fp, 80 - tp as fn, 1000 - 140 + tp as tn from range(0, 61) t(tp)) order by abs({f1()} - 0.6123::double), tp limit 1")
+@query("k18_reconstruction", with_(CASES, A, JUDGED) + f"""select tn, fp, fn, tp from (select q.*, row_number() over (order by abs({f1()} - target), tp) as place from (
+  select tp, n_pred - tp as fp, n_gold - tp as fn, n - n_gold - n_pred + tp as tn, target from (select n, n_gold, n_pred, target, unnest(range(greatest(0, n_gold + n_pred - n), least(n_gold, n_pred) + 1)) as tp from (
+    select n, tp + fn as n_gold, tp + fp as n_pred, round({f1()}, 4) as target from (select count(*) as n, {counts('y', 'f')} from judged)))) q) where place = 1""")
 def k18(spark, sf_dir):
-    return inference.reconstruct_confusion(spark, 1000, 80, 60, 0.6123)
+    """The confusion of a run's decisions, from its margins and its macro-F1 of four digits."""
+    c = judged(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *metrics.confusion("y", "f")).withColumn("f1", F.round(metrics.macro_f1(), 4)).first()
+    return inference.reconstruct_confusion(spark, c["n"], c["tp"] + c["fn"], c["tp"] + c["fp"], c["f1"])
 
 
 @query("k17_feature_auc", with_(CASES, A) + """, long as (select 'p_faith' as feature, p_faith as v, faithfulness as y from scores union all select 'p_rel', p_rel, faithfulness from scores),

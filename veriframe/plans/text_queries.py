@@ -152,9 +152,15 @@ def t21(spark, sf_dir):
     return c.select("lang", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
-@query("t22_unit_grid", "select i as step, case when i = 100 then 1.0::double else i * 0.01::double end as t from range(101) r(i)")
+@query("t22_unit_grid", """with g as (select i, case when i = 100 then 1.0::double else i * 0.01::double end as t from range(101) r(i)), s as (select (n_chars % 100)::double / 99 as s from documents where n_chars is not null)
+  select i as step, t, count(s) as n_at_least from g left join s on s >= t group by i, t""")
 def t22(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(numeric.unit_grid())).select(F.col("pos").alias("step"), F.col("col").alias("t"))
+    """The grid's points, and how many scores reach each: a score reaches the points up to its own place among them."""
+    s = table(spark, sf_dir, "documents").where("n_chars is not null").select((F.col("n_chars") % 100 / F.lit(99.0)).alias("s"))
+    reached = s.select(F.size(F.filter(numeric.unit_grid(), lambda t: t <= F.col("s"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    each = reached.select(F.explode(F.slice(numeric.unit_grid(), F.lit(1), F.col("k"))).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n_at_least"))
+    grid = spark.range(1).select(F.posexplode(numeric.unit_grid()).alias("step", "t"))
+    return grid.join(each, "t", "left").select("step", "t", F.coalesce("n_at_least", F.lit(0)).alias("n_at_least"))
 
 
 @query("t26_path_parts", "select cast(doc_id as varchar) as doc_id, source as method, coalesce(lang, '') as variant, case when source like 'src1%' then 'one' else 'other' end as category from documents")

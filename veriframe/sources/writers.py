@@ -52,6 +52,22 @@ def report(primary: DataFrame, *, method: str, variant: str) -> DataFrame:
     return primary.select(F.lit(1).alias("schema_version"), F.lit(method).alias("method"), F.lit(variant).alias("variant"), F.struct("value", ci.alias("ci95")).alias("primary"))
 
 
+def report_json(rows: DataFrame, *, method: str, variant: str, protocol: dict | None = None) -> DataFrame:
+    """One row (json) of a report's rows (section, name, value): schema_version, method, variant, protocol, and for each
+    section a map of its names. A primary or axis metric without both ends of its interval or its place in
+    the noise is an error, as is a report without a primary metric."""
+    needed = ("value", "ci_lo", "ci_hi", "null_percentile")
+    by = rows.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("values"))
+    metric = (F.col("section") == "primary") | F.startswith("section", F.lit("axis."))
+    whole = F.forall(F.array(*map(F.lit, needed)), lambda n: F.exists("values", lambda x: (x["name"] == n) & x["value"].isNotNull()))
+    checked = by.withColumn("values", F.when(~metric | whole, F.col("values")).otherwise(F.raise_error(F.concat(F.lit("a metric without interval or noise percentile: "), "section"))))
+    sections = F.array_sort(F.collect_list(F.struct("section", "values")))
+    one = checked.agg(F.map_from_entries(F.transform(sections, lambda s: F.struct(s["section"], F.map_from_entries(s["values"])))).alias("sections"))
+    there = F.when(F.map_contains_key("sections", "primary"), F.col("sections")).otherwise(F.raise_error(F.lit("no primary metric")))
+    head = [F.lit(1).alias("schema_version"), F.lit(method).alias("method"), F.lit(variant).alias("variant"), F.lit(json.dumps(protocol or {}, sort_keys=True, ensure_ascii=False)).alias("protocol")]
+    return one.select(F.to_json(F.struct(*head, there.alias("sections"))).alias("json"))
+
+
 def migrated(scores: DataFrame, prefix: str, expected: int) -> DataFrame:
     """Root p_faith and p_rel moved to keys of the prefix, keys that are there kept, partial where rows
     fall short of those expected; doing it again changes nothing."""
