@@ -51,6 +51,19 @@ def test_repositories_count_too(spark):
     assert spans(wide_share=0.3, repository=("doc_id",), wide_most=1) == []
 
 
+def test_limits_follow_the_number_of_owners(spark):
+    """400 owners: a key in 15 of them is theirs, one in 25 is an example; base spans stay either way."""
+    leaked, example, base_hex = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7", "Zq7Tn2Wv9Xk4Lm8Pr3Bs6", "9f8e7d6c5b4a39281706f5e4d3"
+    docs = [(i, f"doc {i} " + (leaked if i < 15 else example if i < 40 else base_hex if i < 70 else ""), "en", f"o{i}") for i in range(400)]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark, docs)).collect()}
+    assert all([(x["rank"], x["owners"], x["copied"]) for x in rows[i]] == [(3, 15, False)] for i in range(15))
+    assert all(rows[i] == [] for i in range(15, 40))
+    assert all([(x["rank"], x["owners"], x["copied"]) for x in rows[i]] == [(2, 30, True)] for i in range(40, 70))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, docs)).collect()}
+    assert out[3] == "doc 3 <secret>" and out[20] == f"doc 20 {example}" and out[50] == f"doc 50 {base_hex}"
+    assert [secrets.widely(n, 0.5) for n in (0, 1, 3, 10, 20, 60, 100, 400, 100_000)] == [1, 1, 1, 5, 10, 10, 10, 20, 316]
+
+
 def slow_mask(text, spans):
     out, at = "", 0
     for s, e in spans:

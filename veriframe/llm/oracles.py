@@ -31,7 +31,7 @@ SECRETS = f"""with texts as (select doc_id, coalesce('is ' || source, 'none') as
 base as (select *, 0 as rank from a union all select *, 1 from k union all select *, 2 from h),
 {located("r", "owned", RUN, "m", f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and {ENTROPY} >= 3.5")},
 found as (select * from base union all select *, 3 from r where not exists (select 1 from base b where b.doc_id = r.doc_id and b.start < r.finish and r.start < b.finish)),
-every as (select greatest(1, least({WIDE_MOST}, floor(count(distinct owner) * {WIDE_SHARE}))) as o, greatest(1, least({WIDE_MOST}, floor(count(distinct repository) * {WIDE_SHARE}))) as r from texts),
+every as (select greatest(1, least(greatest({WIDE_MOST}, floor(sqrt(count(distinct owner)))), floor(count(distinct owner) * {WIDE_SHARE}))) as o, greatest(1, least(greatest({WIDE_MOST}, floor(sqrt(count(distinct repository)))), floor(count(distinct repository) * {WIDE_SHARE}))) as r from texts),
 owned as (select value, count(distinct owner) as owners, count(distinct repository) as repositories from found group by value),
 judged as (select h.*, owners > o and repositories > r as copied from owned h, every),
 spans as (select f.*, j.owners, j.repositories, j.copied, kind || ':' || start || ':' || finish as written from found f join judged j using (value) where rank < 3 or not copied)

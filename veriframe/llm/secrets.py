@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,7 @@ def matches(text: Column, pattern: str, rank: int, keep: Callable[[Column], Colu
 
 
 def base_spans(text: Column) -> Column:
+    """Spans of the fixed kinds, one kind after the other; an empty text has none."""
     secret = lambda m: F.regexp_extract(m, ASSIGN, 2)
     long_hex = HEX.replace("+", "{24,}")  # a run is matched whole, so asking for its length first finds the same
     return F.concat(
@@ -109,20 +111,21 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 #: A value is a widely copied example where it has more owners, and more repositories, than this share
-#: of all that there are, or than so many where there are very many.
+#: of all that there are, or, where there are many, than the root of their number and than WIDE_MOST.
 WIDE_SHARE, WIDE_MOST = 0.5, 10
 #: A value with over one in so many spans is dealt over parts when it meets its counts.
 HOT_SHARE = 1000
 
 
-def widely(total: int, share: float, most: int) -> int:
-    """How many of total may have a value that is no widely copied example."""
-    return max(1, min(most, int(total * share)))
+def widely(total: int, share: float, most: int | None = None) -> int:
+    """How many of total may have a value that is no widely copied example. Without most it grows with the root of
+    total: a key that leaked into 11 forks is no example among 100,000 owners, one that 317 have is."""
+    return max(1, min(max(WIDE_MOST, math.isqrt(total)) if most is None else most, int(total * share)))
 
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Sequence[str] = ("source",), repository: Sequence[str] = ("source", "lang"),
-    wide_share: float = WIDE_SHARE, wide_most: int = WIDE_MOST, least_entropy: float = 3.5, carry: Sequence[Column] = (),
+    wide_share: float = WIDE_SHARE, wide_most: int | None = None, least_entropy: float = 3.5, carry: Sequence[Column] = (),
 ) -> DataFrame:
     """One row for each row of docs: doc_id, spans array<struct<start, rank, end, owners, repositories,
     copied>> ordered by start then kind, and what carry names.
