@@ -171,7 +171,7 @@ def test_stream_scores_each_id_once(spark, tmp_path):
     score = lambda df: df.select("id", F.length("answer").cast("double").alias("score"))
     for part in ([("1", "a"), ("2", "bb")], [("2", "bb"), ("3", "ccc"), ("3", "ccc")]):
         spark.createDataFrame(part, "id string, answer string").write.mode("append").json(source)
-        incremental.score_stream(spark, source, "id string, answer string", sink, "id string, score double", check, score).awaitTermination()
+        incremental.score_stream(spark, source, "id string, answer string", sink, check, score).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.schema("id string, score double").json(sink).collect()) == [("1", 1.0), ("2", 2.0), ("3", 3.0)]
 
 

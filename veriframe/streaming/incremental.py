@@ -26,24 +26,17 @@ def in_order(results: DataFrame, cases: DataFrame, key: str = "id", order: str =
     return results.join(cases.select(key, order), key).orderBy(order).drop(order)
 
 
-def scores_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
-
-
-def score_stream(spark: SparkSession, source: str, case_schema: str, sink: str, score_schema: str, checkpoint: str, scorer: Scorer) -> StreamingQuery:
-    """Scores cases as JSON files of them arrive. A batch that is run again finds its ids done and adds
-    nothing, so the sink has each id once."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        done = scores_or_none(spark, sink, score_schema)
-        fresh = remaining(batch.dropDuplicates(["id"]), done)
-        scorer(fresh).write.mode("append").json(sink)
-
+def score_stream(spark: SparkSession, source: str, case_schema: str, sink: str, checkpoint: str, scorer: Scorer, key: str = "id") -> StreamingQuery:
+    """Scores cases as JSON files of them arrive, each id once, whichever batch or file it comes in again.
+
+    Which ids were seen is keyed state in the checkpoint, dealt over the shuffle partitions, so a batch costs
+    what its own rows cost however much was scored before. The sink is the stream's own folder: its
+    log names the files of finished batches, so a batch that died halfway leaves nothing to see and runs
+    again whole. scorer maps rows to rows (columns, mapInPandas); rows without an id are left out. For very
+    many ids let the session keep its state in RocksDB (spark.sql.streaming.stateStore.providerClass)."""
     stream = spark.readStream.schema(case_schema).json(source)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = stream.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return scorer(fresh).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def last_epochs(log: DataFrame) -> DataFrame:
