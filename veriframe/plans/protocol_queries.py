@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_unit
@@ -44,11 +46,18 @@ def j04(spark, sf_dir):
     return r9(both.select("id", "y", "s", "other_s"), "s", "other_s")
 
 
-@query("a57_same_corpus", with_(CASES) + "select count(*) as n from cases")
+@query("a57_same_corpus", with_(CASES, "n as (select count(*) as n, count(*) filter (where cast(id as bigint) % 97 = 0) as touched from cases)")
+    + "select 'reordered' as copy, n, true as same from n union all select 'relabelled', n, touched = 0 from n union all select 'shorter', n - touched, touched = 0 from n union all select 'doubled', n + touched, touched = 0 from n")
 def a57(spark, sf_dir):
-    c = cases(spark, sf_dir)
-    protocol.require_same_corpus(c, *protocol.fingerprint(c.repartition(3)).first())
-    return c.agg(F.count(F.lit(1)).alias("n"))
+    """Copies of the cases, some of them tampered with: which of them have the fingerprint of the cases."""
+    c, some = cases(spark, sf_dir), F.col("id").cast("bigint") % 97 == 0
+    copies = {
+        "reordered": c.repartition(3), "relabelled": c.withColumn("relevance", F.when(some, 1 - F.col("relevance")).otherwise(F.col("relevance"))),
+        "shorter": c.where(~some), "doubled": c.unionByName(c.where(some)),
+    }
+    want = protocol.fingerprint(c).first()
+    each = [protocol.fingerprint(df).select(F.lit(name).alias("copy"), F.col("rows").alias("n"), ((F.col("rows") == want["rows"]) & (F.col("content") == F.lit(want["content"]))).alias("same")) for name, df in copies.items()]
+    return reduce(lambda x, y: x.unionByName(y), each)
 
 
 @query("a55_scores_only", with_(CASES, A, JUDGED) + "select id, 0::bigint as faithfulness_pred, 0::bigint as relevance_pred, round(p_faith, 9) as p_faith, round(p_rel / 2, 9) as p_rel, 2::bigint as n_scores from judged join scores using (id)")
@@ -62,14 +71,22 @@ def a55(spark, sf_dir):
 SAID = "list_filter([case when length(answer) % 3 = 0 then 'off_topic_answer' end, case when length(answer) % 2 = 0 then 'hallucination' else 'contradiction' end, case when length(question) % 2 = 0 then 'hallucination' else '' end], lambda m: m is not null and m <> '')"
 
 
-@query("g24_pick_marker", with_(CASES, A, f"""said as (select id, p_faith, p_rel, {SAID} as ms from scores),
-tops as (select id, p_faith, p_rel, list_reverse_sort(list_transform(list_distinct(ms), lambda m: {{'n': len(list_filter(ms, lambda x: x = m)), 'place': -list_position(ms, m), 'm': m}}))[1].m as top from said)""") + "select id, case when p_faith < 0.5 and (p_rel >= 0.5 or p_faith <= p_rel) then coalesce(top, 'unknown') when p_rel < 0.5 then 'unknown' else 'none' end as marker from tops")
+SAID_REL = "list_filter([case when length(question) % 3 = 0 then 'context_mixing' end, case when length(answer) % 5 < 2 then 'off_topic_answer' else '' end, case when length(question) % 4 < 2 then 'context_mixing' end], lambda m: m is not null and m <> '')"
+
+
+def top_of(said: str) -> str:
+    return f"list_reverse_sort(list_transform(list_distinct({said}), lambda m: {{'n': len(list_filter({said}, lambda x: x = m)), 'place': -list_position({said}, m), 'm': m}}))[1].m"
+
+
+@query("g24_pick_marker", with_(CASES, A, f"said as (select id, p_faith, p_rel, {SAID} as ms, {SAID_REL} as rs from scores)", f"tops as (select *, {top_of('ms')} as top, {top_of('rs')} as rel_top from said)")
+    + "select id, case when p_faith < 0.5 and (p_rel >= 0.5 or p_faith <= p_rel) then coalesce(top, 'unknown') when p_rel < 0.5 then coalesce(rel_top, 'unknown') else 'none' end as marker from tops")
 def g24(spark, sf_dir):
     from .views import scores
 
     a, q = F.length("answer"), F.length("question")
     said = F.array(F.when(a % 3 == 0, "off_topic_answer"), F.when(a % 2 == 0, "hallucination").otherwise("contradiction"), F.when(q % 2 == 0, "hallucination").otherwise(""))
-    return scores(spark, sf_dir).select("id", protocol.pick_marker(F.col("p_faith"), F.col("p_rel"), said, F.array().cast("array<string>")).alias("marker"))
+    rel = F.array(F.when(q % 3 == 0, "context_mixing"), F.when(a % 5 < 2, "off_topic_answer").otherwise(""), F.when(q % 4 < 2, "context_mixing"))
+    return scores(spark, sf_dir).select("id", protocol.pick_marker(F.col("p_faith"), F.col("p_rel"), said, rel).alias("marker"))
 
 
 @query("f12_last_rows", "select doc_id, source from documents order by doc_id desc limit 25")
