@@ -149,3 +149,21 @@ def test_awkward_rows(spark):
         stacking.stacked(cases.selectExpr("id", "y", "if(id = 'c3', double('nan'), a) a"), folds, ("a",), "y").collect()
     with pytest.raises(ValueError, match="calibrate"):
         stacking.stacked(cases, folds, ("a",), "y", "best")
+
+
+def test_plain_heads_bear_large_means_missing_labels_and_one_class(spark):
+    from veriframe.operators import learned
+
+    rng = random.Random(8)
+    rows = [(f"c{i}", int(rng.random() < 0.4), rng.gauss(0, 1)) for i in range(120)]
+    rows = [(i, y, x + y) for i, y, x in rows]
+    folds = spark.createDataFrame([(i, 0, k % 3) for k, (i, *_) in enumerate(rows)] + [("u", 0, 1), ("v", 1, 0), ("w", 1, 1)], "id string, repeat int, fold int")
+    p = {}
+    for shift in (0.0, 1e9):
+        df = spark.createDataFrame([(i, y, x + shift) for i, y, x in rows] + [("u", None, 0.5 + shift), ("v", 1, shift), ("w", 0, shift)], "id string, y int, x double")
+        p[shift] = {r["id"]: r["p"] for r in learned.oof_logistic(df, folds, ("x",), "y").collect()}
+    for k in range(3):
+        w, b = slow_head([[x] for j, (_, _, x) in enumerate(rows) if j % 3 != k], [y for j, (_, y, _) in enumerate(rows) if j % 3 != k], 1.0)
+        assert all(p[0.0][i] == pytest.approx(1 / (1 + math.exp(-(w[0] * x + b))), abs=1e-8) for j, (i, _, x) in enumerate(rows) if j % 3 == k)
+    assert p[1e9] == pytest.approx(p[0.0], abs=1e-5)
+    assert 0 < p[0.0]["u"] < 1 and p[0.0]["v"] == 0.0 and p[0.0]["w"] == 1.0

@@ -1,18 +1,17 @@
 """Logistic heads fitted for all folds at once.
 
 A row stays in its partition: each pass adds up, for every fold's model, the gradient and the
-curvature over the rows the model may see. What comes to the driver is (features + 1)^2 numbers a model."""
+curvature over the rows the model may see. What comes to the driver is (features + 1)(features + 2) numbers a model."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .stacking import Head, Heads, fit, moments, scored
 
 
 def oof_logistic(df: DataFrame, folds: DataFrame, features: Sequence[str], y: str, c: float = 1.0, passes: int = 12) -> DataFrame:
@@ -21,64 +20,22 @@ def oof_logistic(df: DataFrame, folds: DataFrame, features: Sequence[str], y: st
     Each (repeat, fold) has its own head, fitted on the repeat's other folds: features by that
     training set's mean and population deviation (1 where it is 0), classes weighted to equal
     halves, half the squared weights plus c times the weighted loss, free intercept. A training
-    set of one class predicts that class. Newton steps; twelve leave nothing to gain on scaled data."""
-    d = len(features)
-    rows = df.select("id", F.col(y).cast("int").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(folds, "id")
-    rows = materialise(rows)
-    parts = rows.groupBy("repeat", "fold").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"), *[F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d)],
-        *[F.sum(F.get("x", F.lit(i)) * F.get("x", F.lit(i))).alias(f"q{i}") for i in range(d)],
-    )
-    own = {(r["repeat"], r["fold"]): np.array([r["n"], r["n1"], *[r[f"s{i}"] for i in range(d)], *[r[f"q{i}"] for i in range(d)]], float) for r in parts.collect()}
-    heads = {}
-    for (repeat, fold), mine in own.items():
-        t = sum(v for (r, _), v in own.items() if r == repeat) - mine
-        n, n1 = t[0], t[1]
-        if n == 0 or n1 in (0, n):
-            heads[repeat, fold] = {"constant": float(n1 > 0) if n else 0.5}
-            continue
-        mean = t[2 : 2 + d] / n
-        std = np.sqrt(np.maximum(t[2 + d :] / n - mean**2, 0))
-        heads[repeat, fold] = {"mean": mean, "std": np.where(std > 1e-12, std, 1.0), "w": (n / (2 * (n - n1)), n / (2 * n1)), "beta": np.zeros(d + 1)}
-    fitted = [k for k in heads if "beta" in heads[k]]
-    for _ in range(passes if fitted else 0):
-        now = {k: heads[k] for k in fitted}
-
-        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            total = {k: np.zeros((d + 1, d + 2)) for k in now}
-            for b in batches:
-                if not len(b):
-                    continue
-                x, yy, rep, fold = np.stack(b["x"].to_numpy()), b["y"].to_numpy(), b["repeat"].to_numpy(), b["fold"].to_numpy()
-                for k, h in now.items():
-                    use = (rep == k[0]) & (fold != k[1])
-                    z = np.hstack([(x[use] - h["mean"]) / h["std"], np.ones((use.sum(), 1))])
-                    p = 1 / (1 + np.exp(-np.clip(z @ h["beta"], -35, 35)))
-                    w = np.where(yy[use] == 1, h["w"][1], h["w"][0])
-                    total[k][:, 0] += z.T @ (w * (p - yy[use]))
-                    total[k][:, 1:] += (z * (w * p * (1 - p))[:, None]).T @ z
-            for k, m in total.items():
-                yield pd.DataFrame({"repeat": k[0], "fold": k[1], "i": np.arange(m.size), "v": m.ravel()})
-
-        added = rows.mapInPandas(sums, "repeat int, fold int, i int, v double").groupBy("repeat", "fold", "i").agg(F.sum("v").alias("v"))
-        total = {k: np.zeros((d + 1) * (d + 2)) for k in fitted}
-        for r in added.collect():
-            total[r["repeat"], r["fold"]][r["i"]] = r["v"]
-        ridge = np.diag([1.0] * d + [0.0])
-        for k in fitted:
-            m = total[k].reshape(d + 1, d + 2)
-            beta = heads[k]["beta"]
-            heads[k]["beta"] = beta - np.linalg.solve(c * m[:, 1:] + ridge + 1e-12 * np.eye(d + 1), c * m[:, 0] + ridge @ beta)
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = np.zeros(len(b))
-            for i, (x, repeat, fold) in enumerate(zip(b["x"], b["repeat"], b["fold"], strict=True)):
-                h = heads[repeat, fold]
-                p[i] = h["constant"] if "constant" in h else 1 / (1 + np.exp(-(np.append((x - h["mean"]) / h["std"], 1.0) @ h["beta"])))
-            yield pd.DataFrame({"id": b["id"], "p": p})
-
-    return rows.mapInPandas(predict, "id string, p double").groupBy("id").agg(F.avg("p").alias("p"))
+    set of one class predicts that class, one of no rows 1/2. Cases without a label are predicted
+    and teach nothing. Newton steps; twelve leave nothing to gain on scaled data."""
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.select("id", F.col(y).cast("int").alias("y"), x.alias("x")).join(folds.select("id", "repeat", "fold"), "id")
+    rows = materialise(rows.select("id", "repeat", "fold", F.lit(0).alias("part"), F.lit(0).alias("inner"), "y", "x"))
+    labelled, d = rows.where("y is not null"), len(features)
+    cells = moments(labelled, d)
+    at = sorted((r["repeat"], r["fold"]) for r in rows.select("repeat", "fold").distinct().collect())
+    heads = fit(labelled, Heads([Head(r, f, -1, None, c) for r, f in at], cells, d), passes)
+    wanted = scored(rows, heads, lambda h, cell: (h.repeat, h.fold) == cell[:2], ["id"])
+    p = 1 / (1 + F.exp(-F.col("z")))
+    for k, h in enumerate(heads.heads):
+        if not heads.free[k]:
+            taught = [m.n for cell, m in cells.items() if h.learns(*cell)]
+            p = F.when(F.col("head") == k, F.lit(float(sum(n[1] for n in taught) > 0) if taught else 0.5)).otherwise(p)
+    return wanted.select("id", p.alias("p")).groupBy("id").agg(F.avg("p").alias("p"))
 
 
 def kept_by_interval(increments: DataFrame) -> DataFrame:

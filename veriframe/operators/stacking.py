@@ -204,12 +204,14 @@ def search(rows: DataFrame, cells: dict[tuple, Moments], d: int, strengths: Sequ
 
 def scored(rows: DataFrame, heads: Heads, uses: Callable[[Head, tuple], bool], keep: Sequence[str]) -> DataFrame:
     """(keep, head, z): log odds of each row by every head that uses(head, cell) names."""
-    named = {cell: np.array([k for k, h in enumerate(heads.heads) if uses(h, cell)], int) for cell in heads.cells}
     kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named: dict[tuple, np.ndarray] = {}
         for b in batches:
             for cell, at in by_cell(b):
+                if cell not in named:
+                    named[cell] = np.array([k for k, h in enumerate(heads.heads) if uses(h, cell)], int)
                 use = named[cell]
                 if len(use):
                     z = heads.scaled(b["x"].iloc[at]) @ heads.beta[use].T
