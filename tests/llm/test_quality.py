@@ -46,10 +46,12 @@ def slow_kept(texts, limits=quality.Limits()):
     found = {k: (len(v), *((x + 0.5) / quality.BINS for x in np.percentile(v, [25, 50, 75]))) for k, v in groups.items()}
     for k in {place(n) for c in cut for n, _ in c}:
         near = {j: v[0] * limits.decay ** abs(j - k) for j, v in found.items() if abs(j - k) <= limits.reach}
+        others = sum(w for j, w in near.items() if j != k)
+        near = {j: w if j == k else w * min(1, limits.support / max(1e-9, others)) for j, w in near.items()}
         if near:
             mean = lambda f: sum(near[j] * f(found[j]) for j in near) / sum(near.values())
             m = mean(lambda v: v[2])
-            wide = max(limits.spread * mean(lambda v: v[3] - v[1]) / 1.349, limits.slack * m)
+            wide = max(limits.spread * mean(lambda v: ((v[3] - v[1]) / 1.349) ** 2 + (v[2] - m) ** 2) ** 0.5, limits.slack * m)
             bands[k] = m - wide, m + wide, sum(near.values()) / (sum(near.values()) + limits.support)
 
     def fits(n, packed):

@@ -28,8 +28,10 @@ class Limits:
 
     Lengths fall into classes, steps of them to each doubling. In a class the fitted band is its median
     ratio and spread times its robust deviation (interquartile range / 1.349) to both sides, at least
-    slack of the median. Median and deviation are means over the classes around, weighed by their
-    different texts and by decay for each class between, so a rare length borrows from its neighbours.
+    slack of the median. Median and squared deviation are means over the classes around, weighed by their
+    different texts and by decay for each class between, so a rare length borrows from its neighbours; all
+    neighbours together weigh support texts at most, and where their medians differ, the deviation
+    holds that difference too.
     Where n texts count in this way, the band has n parts of the fitted limits and support parts of the
     outer ones, so it tightens steadily as texts come; it is never beyond the outer ones. A whole text outside the band of its length goes, and so does one of which more
     than odd_chunks of its chunks are outside the band of theirs. Chunks have chunk bytes; the rest of a
@@ -41,7 +43,7 @@ class Limits:
     spread: float = 4.5
     slack: float = 0.06
     outer: tuple[tuple[float, float, float], ...] = ((256, 0.0, 3.0), (2048, 1.15, 4.0), (16384, 1.4, 5.0), (float("inf"), 1.5, 6.0))
-    support: float = 12.0
+    support: float = 6.0
     decay: float = 0.25
     reach: int = 8
     odd_chunks: float = 0.25
@@ -147,10 +149,13 @@ def fit(found: DataFrame, limits: Limits = Limits()) -> dict[int, tuple[float, f
     known = {r["class"]: (r["n"], *((x + 0.5) / BINS for x in r["q"])) for r in rows}
     out = {}
     for k in {k + d for k in known for d in range(-limits.reach, limits.reach + 1)}:
-        near = [(known[j][0] * limits.decay ** abs(j - k), known[j]) for j in sorted(known) if abs(j - k) <= limits.reach]
+        near = [(j, known[j][0] * limits.decay ** abs(j - k), known[j]) for j in sorted(known) if abs(j - k) <= limits.reach]
+        lent = min(1.0, limits.support / max(1e-9, sum(w for j, w, _ in near if j != k)))
+        near = [(w if j == k else w * lent, x) for j, w, x in near]
         n = sum(w for w, _ in near)
         middle = sum(w * x[2] for w, x in near) / n
-        wide = max(limits.spread * sum(w * (x[3] - x[1]) for w, x in near) / n / 1.349, limits.slack * middle)
+        apart = sum(w * (((x[3] - x[1]) / 1.349) ** 2 + (x[2] - middle) ** 2) for w, x in near) / n
+        wide = max(limits.spread * apart**0.5, limits.slack * middle)
         out[k] = middle - wide, middle + wide, n / (n + limits.support)
     return out
 
