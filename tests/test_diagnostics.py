@@ -77,5 +77,5 @@ def test_memoriser_equals_a_loop_over_copies(spark):
         same = [j for j in train if t is not None and rows[j][1] == t]
         matched += bool(same)
         p.append(rows[same[0]][2] if same else int(2 * sum(y[train]) >= len(train)))
-    got = diagnostics.memoriser(df, folds, F.col("t"), "y").first()
+    got = diagnostics.memoriser(df, folds, F.col("t"), "y", 0.9).first()
     assert (got["n"], got["n_matched"]) == (len(rows), matched) and got["macro_f1"] == pytest.approx(f1(y, np.array(p)))
