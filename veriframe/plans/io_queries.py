@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_unit
 from ..operators import converters, diffs, perchunk
 from ..session import checkpoint_folder
-from ..sources import readers, samples, writers
+from ..sources import archives, readers, samples, writers
 from ..streaming import incremental
 from .metric_queries import A, r9
 from .registry import query
@@ -33,6 +33,15 @@ def a03(spark, sf_dir):
     return back.select("id", F.sha2(F.coalesce("asked", F.lit("")), 256).alias("question"), F.sha2(F.coalesce("answer", F.lit("")), 256).alias("answer"), "faithfulness")
 
 
+@query("a04_zipped_csv", "select cast(doc_id as varchar) as doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(source, '') as source from documents")
+def a04(spark, sf_dir):
+    """All documents as archives, read back by the member."""
+    path = place(spark, "archives")
+    archives.write(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
+    back = archives.read(spark, path, ["doc_id", "source", "text"])
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source")
+
+
 @query("a05_raw_records", with_(CASES) + "select id, sha256(question) as question, relevance::bigint as relevance from cases")
 def a05(spark, sf_dir):
     path = place(spark, "raw.jsonl")
