@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -18,7 +19,7 @@ NUMBER = r"\d+(?:[.,]\d+)?"
 CHUNK = r"\[CHUNK\s+\d+\]"
 SPACES = r"[ \t\n\x0B\f\r]+"
 #: Roles that open a turn in a written dialog; fixed values.
-CLIENT, ROLES = "Клиент", "Клиент|Ассистент|Оператор|AlfaGen"
+CLIENT, ROLES = "Клиент", ("Клиент", "Ассистент", "Оператор")
 
 #: Russian function words that don't count as content; fixed values.
 STOPWORDS = (
@@ -162,9 +163,10 @@ def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(F.lower(text), p))
 
 
-def last_client_turn(dialog: Column) -> Column:
-    """Text of the last turn of the client in a written dialog; null without one."""
-    turns = F.regexp_extract_all(dialog, F.lit(rf"(?ms)^{CLIENT}\s*:[ \t]*(.*?)(?=^(?:{ROLES})\s*:|\z)"), F.lit(1))
+def last_client_turn(dialog: Column, roles: Sequence[str] = ROLES) -> Column:
+    """Text of the last turn of the client in a written dialog; null without one. Names of assistants that open a turn
+    are given with the roles."""
+    turns = F.regexp_extract_all(dialog, F.lit(rf"(?ms)^{CLIENT}\s*:[ \t]*(.*?)(?=^(?:{'|'.join(map(re.escape, roles))})\s*:|\z)"), F.lit(1))
     return strip(F.try_element_at(turns, F.lit(-1)))
 
 
