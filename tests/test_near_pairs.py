@@ -1,11 +1,12 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriframe.operators import groups, joins
+from veriframe.operators import grams, groups, joins
 
 
 def slow_pairs(texts, threshold):
@@ -60,3 +61,25 @@ def test_blocks_of_a_hot_key_meet_once_each_and_stay_small(spark, monkeypatch):
     assert found == want
     plan = joins.self_pairs(rows, "k", "id", F.lit(True), 40)._jdf.queryExecution().optimizedPlan().toString()
     assert "_low" in plan and "Cartesian" not in plan
+
+
+def test_texts_and_not_their_grams_go_to_disk(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(200)]
+    texts = [(f"t{i:03}", " ".join(rng.choice(words) for _ in range(300))) for i in range(300)]
+    df = spark.createDataFrame([*texts, ("u", texts[0][1][:-9]), ("v", ""), ("w", "ab")], "id string, text string")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    assert [(r["a"], r["b"]) for r in groups.near_pairs(df).collect()] == [("t000", "u")]
+    assert size() - before < 2 * sum(len(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("common,chars", [(40, 300), (0, 10**6)])
+def test_texts_bring_counts_of_rare_grams_and_blocks_meet_once(spark, monkeypatch, common, chars):
+    monkeypatch.setattr(grams, "COMMON", common)
+    monkeypatch.setattr(grams, "BLOCK_CHARS", chars)
+    texts = [*corpus(4, 50), ("u0", "ѩѩѩѩѩ ѭѭѭ"), ("u1", "😀😀😀x"), ("u2", "😀😀😀X  ")]
+    found = groups.near_pairs(spark.createDataFrame(texts, "id string, text string"), 0.6).collect()
+    got = {(r["a"], r["b"]): r["similarity"] for r in found}
+    assert got == pytest.approx(slow_pairs(texts, 0.6)) and len(got) == len(found) > 5 and got["u1", "u2"] == pytest.approx(1)
