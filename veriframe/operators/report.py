@@ -58,6 +58,10 @@ def assemble(
     A case without a fold is counted as excluded and nothing else; a primary that axes lacks is an error."""
     if primary not in axes:
         raise ValueError(f"{primary} is none of the axes {sorted(axes)}")
+    # Read by every section below, so what lies behind them, whole texts perhaps, is read once.
+    broken = F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False)
+    df = materialise(df.select("id", *dict.fromkeys(c for pair in axes.values() for c in pair), broken.alias("_invalid")))
+    folds = materialise(folds.select("id", "repeat", "fold"))
     out, votes, fitted = [], {}, {}
     for name, (y, score) in axes.items():
         votes[name] = materialise(thresholds.cross_validate(df.select("id", F.col(y).alias("y"), F.col(score).alias("s")), folds, "y", "s", steps=steps))
@@ -75,7 +79,7 @@ def assemble(
     pair = [votes[a].select("id", F.col("pred").alias(a)) for a in ("faithfulness", "relevance") if a in votes]
     decided = pair[0].join(pair[1], "id") if len(pair) == 2 else votes[primary].select(F.col("pred").alias("faithfulness"), F.col("pred").alias("relevance"))
     out.append(rows(metrics.degeneracy(decided, "faithfulness", "relevance"), "diagnostics", const_share="const_share", output_entropy="output_entropy", is_degenerate="is_degenerate"))
-    rate = F.avg(F.coalesce(invalid, F.lit(False)).cast("double")) if invalid is not None else F.lit(0.0)
+    rate = F.avg(F.col("_invalid").cast("double"))
     out.append(rows(df.agg(F.coalesce(rate, F.lit(0.0)).alias("rate")), "diagnostics", invalid_output_rate="rate"))
     out.append(rows(spread, "diagnostics", mean_per_repeat_f1="mean", sd_across_repeats="sd", operating_threshold=F.lit(at["t"]), threshold_sd=F.lit(at["sd"])))
     out.append(repeats.select(F.lit("repeats").alias("section"), F.concat(F.lit("f1."), "repeat").alias("name"), F.col("macro_f1").alias("value")))
